@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiquarry.functions.shipping import ship
+
 #: Bytes of text that one numpy step works on; longer texts are taken whole.
 STEP_BYTES = 1 << 20
 
@@ -47,6 +49,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow of a function of this package."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of parts that packed rows are dealt to: the session's own sizing."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": topk.op1_exact_topk,
     "op5_rendezvous": sharding.op5_rendezvous,
 }
 
-ORACLE_SQL: dict[str, str] = {**sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**topk.ORACLE_SQL, **sharding.ORACLE_SQL}
