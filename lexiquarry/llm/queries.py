@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, topk
+from . import jaccard, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_rendezvous": sharding.op5_rendezvous,
 }
 
-ORACLE_SQL: dict[str, str] = {**topk.ORACLE_SQL, **sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**topk.ORACLE_SQL, **jaccard.ORACLE_SQL, **sharding.ORACLE_SQL}
