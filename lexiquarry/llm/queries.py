@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, sharding, topk
+from . import decontaminate, jaccard, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_rendezvous": sharding.op5_rendezvous,
+    "op7_contained_items": decontaminate.op7_contained_items,
 }
 
-ORACLE_SQL: dict[str, str] = {**topk.ORACLE_SQL, **jaccard.ORACLE_SQL, **sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**decontaminate.ORACLE_SQL, **topk.ORACLE_SQL, **jaccard.ORACLE_SQL, **sharding.ORACLE_SQL}
