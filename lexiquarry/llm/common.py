@@ -49,9 +49,17 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch, unless the session says otherwise: texts and shingle sets are
+#: kilobytes each, so Spark's default of 10,000 rows would hold too much at once.
+ARROW_ROWS = 1024
+
+
 def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow of a function of this package."""
-    ship(frame.sparkSession)
+    spark = frame.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return frame.mapInArrow(run, schema)
 
 

@@ -45,6 +45,8 @@ SHARE = (75, 100)
 #: A shingle in this share of all documents is frequent; so there are at most
 #: (mean set size) / FREQUENT frequent shingles, a bound that does not grow with the corpus.
 FREQUENT = 1e-3
+#: Shingles that a task holds before it counts or deals them.
+HELD = 1 << 20
 #: Nodes up to this number are sent to every executor (8 bytes each), beyond it joined.
 SMALL_IDS = 1_000_000
 
@@ -80,33 +82,33 @@ def overlap_bound(n: int, bits: bytes, m: int, other: bytes) -> int:
     return min(n, m, (n + m - int(np.bitwise_count(x ^ y).sum())) // 2)
 
 
+def _often(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Shingles that are frequent among these sets, with their counts."""
+    words = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    edge = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(edge, len(words)))
+    often = counts >= max(4, FREQUENT * len(sets))
+    token, count = words[edge][often].view(np.int64), counts[often]
+    k = len(token)
+    return pa.record_batch({"doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "node": pa.nulls(k, pa.int64()), "bits": pa.nulls(k, pa.binary()), "token": pa.array(token), "often": pa.array(count, pa.int64())})
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    every: list[np.ndarray] = []
     for batch in batches:
-        flat, offsets = text_buffers(batch["text"])
-        n, nodes, bits, every = [], [], [], []
-        for _, h in row_shingles(flat, offsets):
+        n, nodes, bits = [], [], []
+        for _, h in row_shingles(*text_buffers(batch["text"])):
             s = distinct(h)
             n.append(len(s))
             nodes.append(node_of(s) if len(s) else None)
             bits.append(signature(s) if len(s) else None)
             every.append(s)
         rows = len(n)
-        words = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        edge = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(edge, len(words)))
-        often = counts >= max(4, FREQUENT * rows)
-        token, count = words[edge][often].view(np.int64), counts[often]
-        k = len(token)
-        yield pa.record_batch(
-            {
-                "doc_id": pa.concat_arrays([batch["doc_id"].cast(pa.int64()), pa.nulls(k, pa.int64())]),
-                "n": pa.array(n + [None] * k, pa.int64()),
-                "node": pa.array(nodes + [None] * k, pa.int64()),
-                "bits": pa.array(bits + [None] * k, pa.binary()),
-                "token": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token)]),
-                "often": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(count, pa.int64())]),
-            }
-        )
+        yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "bits": pa.array(bits, pa.binary()), "token": pa.nulls(rows, pa.int64()), "often": pa.nulls(rows, pa.int64())})
+        if sum(map(len, every)) >= HELD:
+            yield _often(every)
+            every = []
+    yield _often(every)
 
 
 _DESCRIBED = "doc_id long, n long, node long, bits binary, token long, often long"
@@ -115,12 +117,24 @@ _DESCRIBED = "doc_id long, n long, node long, bits binary, token long, often lon
 def _prefixes(frequent, parts: int):
     """Packed (tile, shingle, node, size) of the prefixes of each batch's distinct sets."""
 
+    def packed(tokens: list, nodes: list, sizes: list) -> Iterator[pa.RecordBatch]:
+        t, d, z = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+        tile = (t % np.uint64(parts)).astype(np.int32)
+        # 32 bits of a shingle are enough inside a tile: two that share them only cause a comparison.
+        rest = ((t // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.argsort(tile, kind="stable")
+        tile, rest, d, z = tile[order], rest[order], d[order], z[order]
+        cuts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+        pack = [(int(tile[i]), rest[i:j].tobytes(), d[i:j].tobytes(), z[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
+        for i in range(0, len(pack), 256):
+            a, b, c, e = zip(*pack[i : i + 256])
+            yield pa.record_batch({"tile": pa.array(a, pa.int32()), "tokens": pa.array(b, pa.binary()), "nodes": pa.array(c, pa.binary()), "sizes": pa.array(e, pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
+        seen, tokens, nodes, sizes, held = set(), [], [], [], 0
         for batch in batches:
-            flat, offsets = text_buffers(batch["text"])
-            seen, tokens, nodes, sizes = set(), [], [], []
-            for _, h in row_shingles(flat, offsets):
+            for _, h in row_shingles(*text_buffers(batch["text"])):
                 s = distinct(h)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
@@ -137,19 +151,12 @@ def _prefixes(frequent, parts: int):
                 tokens.append(head)
                 nodes.append(np.full(len(head), node, np.int64))
                 sizes.append(np.full(len(head), len(s), np.int32))
-            if not tokens:
-                continue
-            t, d, z = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-            tile = (t % np.uint64(parts)).astype(np.int32)
-            # 32 bits of a shingle are enough inside a tile: two that share them only cause a comparison.
-            rest = ((t // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.argsort(tile, kind="stable")
-            tile, rest, d, z = tile[order], rest[order], d[order], z[order]
-            cuts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
-            pack = [(int(tile[i]), rest[i:j].tobytes(), d[i:j].tobytes(), z[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
-            for i in range(0, len(pack), 256):
-                a, b, c, e = zip(*pack[i : i + 256])
-                yield pa.record_batch({"tile": pa.array(a, pa.int32()), "tokens": pa.array(b, pa.binary()), "nodes": pa.array(c, pa.binary()), "sizes": pa.array(e, pa.binary())})
+                held += len(head)
+            if held >= HELD:
+                yield from packed(tokens, nodes, sizes)
+                seen, tokens, nodes, sizes, held = set(), [], [], [], 0
+        if held:
+            yield from packed(tokens, nodes, sizes)
 
     return run
 
