@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, sharding, topk
+from . import decontaminate, jaccard, sharding, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op3_repeated_bytes": substrings.op3_repeated_bytes,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_rendezvous": sharding.op5_rendezvous,
     "op7_contained_items": decontaminate.op7_contained_items,
