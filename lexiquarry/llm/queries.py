@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, sharding, substrings, topk
+from . import bpe, decontaminate, jaccard, sharding, substrings, tokenfiles, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op3_repeated_bytes": substrings.op3_repeated_bytes,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_rendezvous": sharding.op5_rendezvous,
+    "op6_word_bpe": bpe.op6_word_bpe,
     "op7_contained_items": decontaminate.op7_contained_items,
+    "op9_token_files": tokenfiles.op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {**decontaminate.ORACLE_SQL, **topk.ORACLE_SQL, **jaccard.ORACLE_SQL, **sharding.ORACLE_SQL}
