@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, sharding, substrings, tokenfiles, topk
+from . import bpe, decontaminate, jaccard, language, sharding, substrings, tokenfiles, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rendezvous": sharding.op5_rendezvous,
     "op6_word_bpe": bpe.op6_word_bpe,
     "op7_contained_items": decontaminate.op7_contained_items,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": tokenfiles.op9_token_files,
+    "op10_language": language.op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {**decontaminate.ORACLE_SQL, **topk.ORACLE_SQL, **jaccard.ORACLE_SQL, **sharding.ORACLE_SQL}

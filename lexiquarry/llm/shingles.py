@@ -39,13 +39,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[:n], _INVERSES[:n]
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of rows that lie one after another, and the first word of each row (n + 1)."""
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of rows that lie one after another, and the first word of each row (n + 1).
+    gap says of each byte whether it parts words."""
     n = len(flat)
     firsts = np.zeros(len(offsets), np.int64)
     if not n:
         return np.zeros(0, np.uint64), firsts
-    solid = ~SPACE[flat]
+    solid = ~gap[flat]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()
