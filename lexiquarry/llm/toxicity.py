@@ -32,7 +32,7 @@ from .shingles import word_hashes
 
 BITS = 22
 POSITIVES, NEGATIVES = 6_000, 12_000
-EPOCHS = 4
+EPOCHS = 8
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -72,7 +72,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(vectors: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates and weights other than zero, and the intercept for a true share of toxic rows."""
-    model = Ftrl(1 << BITS, alpha=0.3, l1=1.0, l2=1.0)
+    model = Ftrl(1 << BITS, alpha=2.0, l1=6.0, l2=0.1)
     bias = Ftrl(1, alpha=0.1)
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
