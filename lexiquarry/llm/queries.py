@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, sharding, substrings, tokenfiles, topk, toxicity
+from . import bpe, decontaminate, jaccard, language, sharding, substrings, tokenfiles, topk, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_main_text": wrappers.op2_main_text,
     "op3_repeated_bytes": substrings.op3_repeated_bytes,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_rendezvous": sharding.op5_rendezvous,
