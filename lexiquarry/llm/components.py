@@ -8,24 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
+
+#: Edges that one task of a round handles at least: few edges are not spread over many small files.
+EDGES = 100_000
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Point each neighbour at the least node it can see."""
+def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
+    """Point each neighbour at the least node it can see. parts: tasks that are enough for the edges."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     both = both.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    pairs = both.join(least, F.col("u") == F.col("w"))
+    least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts)
+    pairs = both.join(least, F.col("u") == F.col("w")).coalesce(parts)
     if large:
         out = pairs.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = pairs.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w").alias("a"), F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    return out.filter(F.col("a") != F.col("b")).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
     seen = _digest(e)
     while seen[0]:
-        e = cut(_stars(_stars(e, True), False))
+        parts = max(1, min(partitions(e.sparkSession), -(-seen[0] // EDGES)))
+        e = e.coalesce(parts)
+        e = cut(_stars(_stars(e, True, parts), False, parts))
         now = _digest(e)
         if now == seen:
             break
