@@ -35,7 +35,7 @@ from .lexicon import Builder, Lexicon
 LISTED = 1 << 16
 #: Words that a task counts before it hands the counts on, and words that a worker remembers.
 COUNTED = 1 << 18
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -45,6 +45,9 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+_NEVER = 1 << 30
+
+
 class WordBpe:
     """One tokenizer file."""
 
@@ -61,10 +64,14 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + self.suffix] for s in symbols]
-        # A pair of ids, as one number, to its rank and the id of what it makes.
-        self.merges: dict[int, tuple[int, int]] = {}
+        # A pair of ids, as one number, to its rank; and the id that the merge of each rank makes.
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 17 | vocab[b], rank)
+            self.made.append(vocab[a + b])
+        if max(vocab.values()) >> 17:
+            raise ValueError("vocabularies of up to 131,072 ids are supported")
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order; a special token is a piece of its own, marked by a leading NUL."""
@@ -94,16 +101,19 @@ class WordBpe:
         ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         if len(ids) > 48:
             return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = get(ids[i] << 32 | ids[i + 1])
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
+        get, made = self.merges.get, self.made
+        ranks = [get(a << 17 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i] = new = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 17 | new, _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(new << 17 | ids[i + 1], _NEVER)
         return tuple(ids)
 
     @property
@@ -116,21 +126,20 @@ class WordBpe:
         """The same merges in the same order, from a heap."""
         n, get = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << 32 | ids[i + 1])) is not None]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := get(ids[i] << 17 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := get(ids[x] << 32 | ids[y])) is not None:
-                    heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (rank := get(ids[x] << 17 | ids[y])) is not None:
+                    heapq.heappush(heap, (rank, x, ids[x], ids[y]))
         return tuple(i for i in ids if i >= 0)
 
     def decode(self, ids) -> str:
@@ -146,20 +155,18 @@ class Encoder:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[tuple[int, ...]] = []
         self.decoded: list[str] = []
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: set[str]) -> None:
-        fresh = sorted(w for w in words if w not in self.index)
+        fresh = [w for w in words if w not in self.index]
         if not fresh:
             return
         found = self.lexicon.look_up([w.encode("utf-8") for w in fresh])
         new = [x if x is not None else self.bpe.merge(w) for w, x in zip(fresh, found)]
-        for w, x in zip(fresh, new):
-            self.index[w] = len(self.ids)
-            self.ids.append(x)
-            self.decoded.append(self.bpe.decode(x))
+        self.index.update(zip(fresh, range(len(self.decoded), len(self.decoded) + len(fresh))))
+        name = self.bpe.names.__getitem__
+        self.decoded += [" ".join(map(name, x)) for x in new]
         size = np.array([len(x) for x in new], np.int64)
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
@@ -182,16 +189,15 @@ class Encoder:
             yield self.flat[where], at
 
 
-_LOADED: dict[bytes, tuple] = {}
+_LOADED: dict[bytes, Encoder] = {}
 
 
-def _loaded(data: bytes, lexicon: bytes | None) -> Encoder | WordBpe:
+def _loaded(data: bytes, lexicon: bytes) -> Encoder:
     """The tokenizer in this worker, built once."""
-    key = hashlib.sha256(data + b"|" + (lexicon or b"")).digest()
+    key = hashlib.sha256(data + b"|" + lexicon).digest()
     if key not in _LOADED:
         _LOADED.clear()
-        bpe = WordBpe(data)
-        _LOADED[key] = bpe if lexicon is None else Encoder(bpe, Lexicon(lexicon))
+        _LOADED[key] = Encoder(WordBpe(data), Lexicon(lexicon))
     return _LOADED[key]
 
 
@@ -209,30 +215,27 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
-def _counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(shared.value, None)
-        counts: Counter[str] = Counter()
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the all-letter words between white space: each is one piece of the tokenizer."""
+    counts: Counter[str] = Counter()
 
-        def handed() -> pa.RecordBatch:
-            often = {w: n for w, n in counts.items() if n > 1 and w[0] != "\0"}
-            return pa.record_batch({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
+    def handed() -> pa.RecordBatch:
+        often = {w: n for w, n in counts.items() if n > 1 and w.isalpha()}
+        return pa.record_batch({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
 
-        for batch in batches:
-            for texts in _texts(batch):
-                for t in texts:
-                    counts.update(bpe.pieces(t))
-            if len(counts) > COUNTED:
-                yield handed()
-                counts.clear()
-        yield handed()
-
-    return run
+    for batch in batches:
+        for texts in _texts(batch):
+            for t in texts:
+                counts.update(t.lower().split())
+        if len(counts) > COUNTED:
+            yield handed()
+            counts.clear()
+    yield handed()
 
 
-def frequent_words(docs: DataFrame, shared, most: int = LISTED) -> list[str]:
+def frequent_words(docs: DataFrame, most: int = LISTED) -> list[str]:
     """Words of the greatest counts over all documents, at most ``most`` of them."""
-    counts = stored(mapped(docs.select("text"), _counts(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = stored(mapped(docs.select("text"), _counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n")).cast("int")
     least, room = 64, most
     for step, many in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -286,7 +289,7 @@ def encoded(docs: DataFrame, path: str, keep: list[str], outputs: list[str], lis
     with open(path, "rb") as f:
         data = f.read()
     shared = context.broadcast(data)
-    lexicon = context.broadcast(compiled(WordBpe(data), frequent_words(docs, shared, listed)))
+    lexicon = context.broadcast(compiled(WordBpe(data), frequent_words(docs, listed)))
     keep = [c for c in keep if c not in outputs]
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
