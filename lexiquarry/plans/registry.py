@@ -1,4 +1,10 @@
 """All registered queries of the engine and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from lexiquarry.plans import q_headword
+
+_MODULES = (q_headword,)
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
