@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiquarry.plans import q_headword
+from lexiquarry.plans import q_fulltext, q_headword, q_library
 
-_MODULES = (q_headword,)
+_MODULES = (q_headword, q_fulltext, q_library)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
