@@ -104,7 +104,7 @@ def glob_regex(glob: str) -> str:
             out, i = out + "[^/]", i + 1
         else:
             out, i = out + ("\\" + g[i] if g[i] in r".+()[]{}^$|" else g[i]), i + 1
-    return "^" + ("" if "/" in glob.strip("/") else "(?:.*/)?") + out + "$"
+    return "^" + ("" if "/" in g else "(?:.*/)?") + out + "$"
 
 
 def is_junk(c: Column) -> Column:
