@@ -3,18 +3,22 @@ scratch folder, and Arrow batches seen as flat numpy arrays."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiquarry.functions.shipping import ship
 
 #: Bytes of text that one numpy step works on; longer texts are taken whole.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -54,13 +58,39 @@ def cut(frame: DataFrame) -> DataFrame:
 ARROW_ROWS = 1024
 
 
-def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+def frugal(run: Callable) -> Callable:
+    """The function, with memory given back to the system when a task ends: workers live on and
+    share the executor's memory with its other processes."""
+
+    def go(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
+def mapped(frame: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow of a function of this package."""
     spark = frame.sparkSession
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)
+
+
+def keeping(docs: DataFrame, keep: list[str], inputs: dict[str, Column], run: Callable, outputs: str) -> DataFrame:
+    """The columns ``keep`` beside the outputs of a function of the inputs. What is kept travels in one
+    struct, ``kept``, first in each batch both ways, so that no name of it can clash."""
+    held = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(held.alias("kept"), *[c.alias(n) for n, c in inputs.items()])
+    made = T.StructType.fromDDL(outputs)
+    out = mapped(rows, run, T.StructType([rows.schema["kept"], *made.fields]))
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], *made.names)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -53,7 +53,7 @@ ORDERED = 1 << 20
 #: Rows of one shingle that are compared in blocks of BLOCK sets, at up to CHOSEN shingles a set.
 LARGE, BLOCK, CHOSEN = 64, 1024, 3
 #: Shingles that a task holds before it counts or deals them.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Nodes up to this number are sent to every executor (8 bytes each), beyond it joined.
 SMALL_IDS = 1_000_000
 
@@ -135,8 +135,8 @@ def _prefixes(frequent, parts: int):
         tile, rest, d, z, at = tile[order], rest[order], d[order], z[order], at[order]
         cuts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
         pack = [(int(tile[i]), rest[i:j].tobytes(), d[i:j].tobytes(), z[i:j].tobytes(), at[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
-        for i in range(0, len(pack), 256):
-            to, *columns = zip(*pack[i : i + 256])
+        for i in range(0, len(pack), 64):
+            to, *columns = zip(*pack[i : i + 64])
             yield pa.record_batch({"tile": pa.array(to, pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("tokens", "nodes", "sizes", "places"), columns)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

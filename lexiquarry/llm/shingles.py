@@ -29,7 +29,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2^64, and their inverses."""
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        n = max(n, 2 * len(_POWERS), 1 << 16)
+        n = max(n, len(_POWERS) + (1 << 18))
         inverse = pow(_BASE, -1, 1 << 64)
         _POWERS = np.full(n, _BASE, np.uint64)
         _INVERSES = np.full(n, inverse, np.uint64)
