@@ -139,12 +139,13 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None, col
     return rows.select(*columns) if columns else rows
 
 
-def places(rows: DataFrame) -> DataFrame:
-    """start beside every row: the ids of all rows before it. rows needs row and n_tokens."""
+def places(rows: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """start beside every row: the ids of all rows before it. rows needs row and n_tokens; lengths are
+    the same two columns from a narrower read, if there is one."""
     part = F.shiftright("row", 33)
     rows = rows.withColumn("_part", part)
     # One row a written partition.
-    totals = rows.groupBy("_part").agg(F.sum("n_tokens").alias("_sum"))
+    totals = (rows if lengths is None else lengths.withColumn("_part", part)).groupBy("_part").agg(F.sum("n_tokens").alias("_sum"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
     before = Window.partitionBy("_part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
@@ -170,4 +171,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_path())
     rows = mapped(read_tokens(spark, path, columns=["row", "doc_id", "ids"]), _checksums, "row long, doc_id long, n_tokens long, ids_crc32 long")
-    return places(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return places(rows, read_tokens(spark, path, columns=["row", "n_tokens"])).select("doc_id", "start", "n_tokens", "ids_crc32")
