@@ -1,11 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a template. Each page becomes a tree of its block elements, where neighbours of equal
-label and shape count as one. A first pass counts the distinct trees of each host, with the
-least and greatest text hash at every node (equal means: the same text on all those pages); trees are
-merged per host by simple tree matching into a template. A second pass aligns every page with
-its host's template in the same way: nodes that nearly all pages of the host have with one and the same text are
-template, the slots whose text varies are content. Inside the page's article (or else the region
+label and shape count as one. A first pass counts the distinct trees of each host, with the texts (by hash) that
+stand at every node; trees are merged per host by simple tree matching into a template, and rare texts
+are forgotten on the way. A second pass aligns every page with its host's template in the same way: texts that
+nearly all pages of the host have at a node are template, the slots whose text varies are content. Inside the page's article (or else the region
 that holds most of the varying text) content is what is left after template nodes and the
 elements that never belong to an article: navigation, headers and footers of the page, asides, forms, scripts,
 styles, adverts, notices and comments, told by tag, role, class or id.
@@ -35,11 +34,13 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.shipping import ship
 
-from .common import mapped, stored, table
+from .common import keeping, mapped, stored, table
 
 #: A node is template if this share of a host's pages, and at least so many, have it with one text.
 TEMPLATE_SHARE = 0.8
 LEAST_PAGES = 5
+#: Texts counted at a node before those on under RARE of its pages are forgotten; counts are short by RARE at most.
+COUNTED, RARE = 256, 0.05
 SMALL_BYTES = 8 << 20
 #: Distinct trees that a task holds before it hands them on.
 HELD = 4000
@@ -48,6 +49,7 @@ HELD = 4000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+SPACED = frozenset("br td th img".split())
 ENDS_P = BLOCK - {"body", "html"}
 NEVER = frozenset("nav footer aside form button select option input label dialog menu svg canvas object audio video map head iframe script style noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -57,7 +59,7 @@ WORDS = frozenset(
     "commentlist reply replies respond disqus discussion toolbar pagination pager widget widgets skip".split()
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -153,28 +155,39 @@ def boilerplate(node: Node) -> bool:
     return node.tag not in ("html", "body", "article", "main", "h1") and any(w in WORDS for w in node.marks)
 
 
+def _plain(parts: list[str]) -> str:
+    text = "".join(parts)
+    return " ".join((entities.unescape(text) if "&" in text else text).split())
+
+
 def _hash(text: str) -> int:
-    return zlib.crc32(" ".join(text.split()).encode("utf-8", "surrogatepass"))
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def skeleton(root: Node) -> tuple[tuple, list[int]]:
-    """The tree of block elements as (label, children), with neighbours of equal label and shape as
-    one, and the hash of the text that stands directly in each; nodes get their place (preorder) in ``slot``."""
-    hashes: list[int] = []
+def skeleton(root: Node) -> tuple[tuple, list[set[int]]]:
+    """The tree of block elements as (label, children), with neighbours of equal label and shape as one, and the
+    hashes of the texts that stand directly in each; nodes get their place (preorder) in ``slot``."""
+    hashes: list[set[int]] = []
 
-    def blocks(node: Node, texts: list[str], out: list[Node]) -> None:
+    def blocks(node: Node, parts: list[str], texts: list[str], out: list[Node]) -> None:
         for c in node.children:
             if isinstance(c, str):
-                texts.append(c)
+                parts.append(c)
             elif c.tag in BLOCK:
+                texts.append(_plain(parts))
+                parts.clear()
                 out.append(c)
             elif c.tag not in RAW:
-                blocks(c, texts, out)
+                if c.tag in SPACED:
+                    parts.append(" ")
+                blocks(c, parts, texts, out)
 
     def shape(node: Node) -> tuple:
+        parts: list[str] = []
         texts: list[str] = []
         inner: list[Node] = []
-        blocks(node, texts, inner)
+        blocks(node, parts, texts, inner)
+        texts.append(_plain(parts))
         label = node.tag + "".join("." + w for w in node.marks[:3])
         groups: list[list] = []
         for child in inner:
@@ -183,11 +196,11 @@ def skeleton(root: Node) -> tuple[tuple, list[int]]:
                 groups[-1][1].append(s)
             else:
                 groups.append([s, [s]])
-        return (label, tuple(g[0][:2] for g in groups), node, "".join(texts), groups)
+        return (label, tuple(g[0][:2] for g in groups), node, texts, groups)
 
     def number(same: list[tuple]) -> None:
-        hashes.append(_hash("\n".join(s[3] for s in same)))
-        slot = len(hashes) - 1
+        slot = len(hashes)
+        hashes.append({_hash(t) for s in same for t in s[3] if t})
         for s in same:
             s[2].slot = slot
         for k in range(len(same[0][4])):
@@ -225,13 +238,17 @@ _LABEL = lambda t: t[0]
 _KIDS = lambda t: t[-1]
 
 
-def as_template(tree: tuple, pages: int, low: list[int], high: list[int]) -> list:
-    """[label, pages, least hash, greatest hash, children] of a page tree."""
-    at = iter(range(len(low)))
+def pruned(counts: dict, pages: int) -> dict:
+    return counts if len(counts) <= COUNTED else {h: n for h, n in counts.items() if n >= RARE * pages}
+
+
+def as_template(tree: tuple, pages: int, counts: list[dict]) -> list:
+    """[label, pages, {hash of a text: pages}, children] of a page tree."""
+    at = iter(counts)
 
     def node(t: tuple) -> list:
-        i = next(at)
-        return [t[0], pages, low[i], high[i], [node(c) for c in t[1]]]
+        own = next(at)
+        return [t[0], pages, own, [node(c) for c in t[1]]]
 
     return node(tree)
 
@@ -240,42 +257,42 @@ def merge(a: list, b: list) -> list:
     """One template of two of the same root label: matched nodes add up, others stand side by side."""
     _, pairs = matching(a, b, _KIDS, _LABEL)
     out, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a[4]), len(b[4]))]:
-        out += a[4][i:p] + b[4][j:q]
-        if p < len(a[4]) and q < len(b[4]):
-            out.append(merge(a[4][p], b[4][q]))
+    for p, q in [*pairs, (len(a[3]), len(b[3]))]:
+        out += a[3][i:p] + b[3][j:q]
+        if p < len(a[3]) and q < len(b[3]):
+            out.append(merge(a[3][p], b[3][q]))
         i, j = p + 1, q + 1
-    return [a[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), out]
+    counts = {h: a[2].get(h, 0) + b[2].get(h, 0) for h in sorted({*a[2], *b[2]})}
+    return [a[0], a[1] + b[1], pruned(counts, a[1] + b[1]), out]
 
 
 @lru_cache(2048)
-def _constant(template: str, tree: tuple) -> tuple[tuple[bool, int], ...]:
-    """For each place of a page tree: whether the template has one text there, and that text's hash."""
+def _constant(template: str, tree: tuple) -> tuple[frozenset, ...]:
+    """For each place of a page tree, the hashes of the texts that are template there."""
     t = json.loads(template)
     pages = t[1]
-    out: list[tuple[bool, int]] = []
+    out: list[frozenset] = []
 
     def walk(node: tuple, own: list | None) -> None:
-        fixed = own is not None and own[2] == own[3] and own[1] >= max(LEAST_PAGES, TEMPLATE_SHARE * pages)
-        out.append((fixed, own[2] if own is not None else 0))
+        out.append(frozenset(int(h) for h, n in own[2].items() if n >= max(LEAST_PAGES, TEMPLATE_SHARE * pages)) if own is not None else frozenset())
         partner = dict((q, p) for p, q in matching(own, node, _KIDS, _LABEL)[1]) if own is not None else {}
         for k, c in enumerate(node[1]):
-            walk(c, own[4][partner[k]] if k in partner else None)
+            walk(c, own[3][partner[k]] if k in partner else None)
 
     walk(tree, t)
     return tuple(out)
 
 
-def _texts(node: Node, template: list[bool] | None, drop) -> list[tuple[str, int, bool]]:
+def _texts(node: Node, template: tuple[frozenset, ...] | None, drop) -> list[tuple[str, int, bool]]:
     """(text, characters of links, is template) of each block below a node, in page order."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     state = {"slot": node.slot, "links": 0}
 
     def close() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = _plain(parts)
         if text:
-            out.append((text, state["links"], bool(template and 0 <= state["slot"] < len(template) and template[state["slot"]])))
+            out.append((text, state["links"], bool(template) and _hash(text) in template[state["slot"]]))
         parts.clear()
         state["links"] = 0
 
@@ -285,8 +302,6 @@ def _texts(node: Node, template: list[bool] | None, drop) -> list[tuple[str, int
                 parts.append(c)
                 if in_link:
                     state["links"] += len(c.strip())
-            elif c.tag == "br":
-                parts.append(" ")
             elif c.tag in RAW or drop(c):
                 continue
             elif c.tag in BLOCK:
@@ -296,7 +311,7 @@ def _texts(node: Node, template: list[bool] | None, drop) -> list[tuple[str, int
                 close()
                 state["slot"] = before
             else:
-                if c.tag in ("td", "th", "img"):
+                if c.tag in SPACED:
                     parts.append(" ")
                 walk(c, in_link or c.tag == "a")
 
@@ -306,7 +321,7 @@ def _texts(node: Node, template: list[bool] | None, drop) -> list[tuple[str, int
     return out
 
 
-def _size(node: Node, template: list[bool] | None) -> int:
+def _size(node: Node, template: tuple[frozenset, ...] | None) -> int:
     return sum(len(t) - min(len(t), 2 * links) for t, links, fixed in _texts(node, template, boilerplate) if not fixed)
 
 
@@ -319,7 +334,7 @@ def _all(node: Node, tags: tuple) -> list[Node]:
     return out
 
 
-def _region(root: Node, template: list[bool] | None) -> Node:
+def _region(root: Node, template: tuple[frozenset, ...] | None) -> Node:
     for tags in (("article",), ("main",)):
         found = _all(root, tags)
         if found:
@@ -341,19 +356,18 @@ def main_text(html: str | None, template: str | None = None) -> str:
     root = parse(html)
     fixed = None
     if template:
-        tree, hashes = skeleton(root)
-        fixed = [ok and h == own for (ok, own), h in zip(_constant(template, tree), hashes)]
+        fixed = _constant(template, skeleton(root)[0])
     blocks = _texts(_region(root, fixed), fixed, boilerplate)
     content = [t for t, _, is_template in blocks if not is_template]
     return "\n\n".join(content or [t for t, _, _ in blocks])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct trees of a host and task: how many pages, and the range of text hashes at each place."""
+    """Distinct trees of a host and task: how many pages, and the texts at each place with their pages."""
     held: dict[tuple, list] = {}
 
     def handed() -> pa.RecordBatch:
-        rows = [(host, json.dumps(as_template(tree, n, low, high), separators=(",", ":"))) for (host, tree), (n, low, high) in held.items()]
+        rows = [(host, json.dumps(as_template(tree, n, counts), separators=(",", ":"))) for (host, tree), (n, counts) in held.items()]
         held.clear()
         return pa.record_batch({"host": pa.array([r[0] for r in rows], pa.string()), "tree": pa.array([r[1] for r in rows], pa.string())})
 
@@ -364,11 +378,14 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree, h = skeleton(parse(page))
             own = held.get((host, tree))
             if own is None:
-                held[host, tree] = [1, h, h]
-            else:
-                own[0] += 1
-                own[1] = [min(x, y) for x, y in zip(own[1], h)]
-                own[2] = [max(x, y) for x, y in zip(own[2], h)]
+                own = held[host, tree] = [0, [{} for _ in h]]
+            own[0] += 1
+            for k, texts in enumerate(h):
+                counts = own[1][k]
+                for t in texts:
+                    counts[str(t)] = counts.get(str(t), 0) + 1
+                if len(counts) > 4 * COUNTED:
+                    own[1][k] = pruned(counts, own[0])
         if len(held) >= HELD:
             yield handed()
     yield handed()
@@ -382,13 +399,10 @@ def _merged(rows):
     return pa.table({"host": rows["host"].slice(0, 1), "template": pa.array([json.dumps(template, separators=(",", ":"))], pa.string())})
 
 
-def _extracted(keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h, t) for h, t in zip(batch["html"].to_pylist(), batch["template"].to_pylist())]
-            yield pa.record_batch([*(batch[c] for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
-
-    return run
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [main_text(h, t) for h, t in zip(batch["html"].to_pylist(), batch["template"].to_pylist())]
+        yield pa.record_batch([batch["kept"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["kept", "text", "n_chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -412,14 +426,14 @@ def host_of(url):
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all but html, text and n_chars by default), and text and n_chars of every page."""
     keep = keep if keep is not None else [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = pages.select(*keep, F.col(html).alias("_html"), host_of(F.col(url)).alias("_host"))
-    known = stored(templates(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")))).withColumnRenamed("host", "_known")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("_known")), F.lit(0))).first()[0]
+    held = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = pages.select(held.alias("own"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
+    known = stored(templates(rows.select("host", "html"))).withColumnRenamed("host", "known")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("known")), F.lit(0))).first()[0]
     known = F.broadcast(known) if size <= SMALL_BYTES else known
-    rows = rows.join(known, F.col("_host") == F.col("_known"), "left")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = rows.select(*keep, F.col("_html").alias("html"), "template")
-    return mapped(rows, _extracted(keep), ", ".join([*(f"`{c}` {types[c]}" for c in keep), "text string", "n_chars long"]))
+    rows = rows.join(known, F.col("host") == F.col("known"), "left")
+    out = keeping(rows, ["own"], {"html": F.col("html"), "template": F.col("template")}, _extracted, "text string, n_chars long")
+    return out.select(*[F.col("own").getField(c).alias(c) for c in keep], "text", "n_chars")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
