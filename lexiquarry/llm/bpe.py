@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, table
+from .common import keeping, mapped, stored, table
 from .lexicon import Builder, Lexicon
 
 #: Words in the transducer at most; those of the greatest counts, by powers of two.
@@ -257,7 +257,7 @@ def compiled(bpe: WordBpe, words: list[str]) -> bytes:
 _OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _encoded(shared, lexicon, keep: list[str], outputs: list[str]):
+def _encoded(shared, lexicon, outputs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(shared.value, lexicon.value)
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
@@ -278,7 +278,7 @@ def _encoded(shared, lexicon, keep: list[str], outputs: list[str]):
                         got[o].append(make[o]())
                 part = batch.slice(row, len(texts))
                 row += len(texts)
-                yield pa.record_batch([*(part[c] for c in keep), *(pa.array(v, types.get(o, pa.string())) for o, v in got.items())], [*keep, *outputs])
+                yield pa.record_batch([part["kept"], *(pa.array(v, types.get(o, pa.string())) for o, v in got.items())], ["kept", *outputs])
 
     return run
 
@@ -291,10 +291,8 @@ def encoded(docs: DataFrame, path: str, keep: list[str], outputs: list[str], lis
     shared = context.broadcast(data)
     lexicon = context.broadcast(compiled(WordBpe(data), frequent_words(docs, listed)))
     keep = [c for c in keep if c not in outputs]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{o} {_OUTPUTS[o]}" for o in outputs)])
-    return mapped(rows, _encoded(shared, lexicon, keep, outputs), schema)
+    made = ", ".join(f"{o} {_OUTPUTS[o]}" for o in outputs)
+    return keeping(docs, keep, {"text": F.col("text")}, _encoded(shared, lexicon, outputs), made)
 
 
 def with_ids(docs: DataFrame, path: str) -> DataFrame:

@@ -155,7 +155,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, small: int = SMALL_SH
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no test item, with all their columns."""
     found = contained_items(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_found"]), "left_anti")
 
 
 def op7_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:

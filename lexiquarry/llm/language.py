@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import keeping, mapped, table
 from .ftrl import Ftrl
 
 BITS = 16
@@ -172,7 +172,7 @@ def learn(docs: DataFrame) -> tuple | None:
     return model
 
 
-def _predicted(model, keep: list[str]):
+def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights, bias, temperature = model.value
         for batch in batches:
@@ -189,27 +189,24 @@ def _predicted(model, keep: list[str]):
                 best = p.argmax(1)
                 langs += [names[b] if ok else UNKNOWN for b, ok in zip(best, some)]
                 scores += np.where(some, p[np.arange(j - i), best], 1.0).tolist()
-            yield pa.record_batch([*(batch[c] for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.record_batch([batch["kept"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["kept", "lang_pred", "score"])
 
     return run
 
 
 def predicted(docs: DataFrame, model: tuple | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, lang_pred and score of every text."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    """The columns ``keep`` (none of them named lang_pred or score), lang_pred and score of every text."""
     if model is None:
-        return rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(1.0).alias("score"))
+        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(1.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return mapped(rows, _predicted(shared, keep), schema)
+    return keeping(docs, keep, {"text": F.col("text")}, _predicted(shared), "lang_pred string, score double")
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, with their own columns alone."""
-    known = predicted(docs, learn(docs), docs.columns)
-    return known.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("own"), "text")
+    known = predicted(rows, learn(docs), ["own"]).filter(F.col("lang_pred") != UNKNOWN)
+    return known.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,12 +377,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated bytes cut from the text; a character cut in part goes whole."""
-    held = numbered(docs)
+    held = numbered(docs.select(F.struct("*").alias("own"), "doc_id", "text"))
     # The same numbers again: doc_id itself, or those of the stored rows.
     cut_ = repeated(held.select(F.col("_row").alias("doc_id"), "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), "kept")
     cut_ = mapped(cut_, _texts, "_row long, _text string")
     out = held.join(cut_, "_row", "left").withColumn("text", F.coalesce("_text", "text"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
