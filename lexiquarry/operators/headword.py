@@ -6,6 +6,7 @@ of each dictionary by a window that Spark limits before its shuffle, and only th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,33 +35,60 @@ def is_sub() -> Column:
     return F.col("w").like("@_%")
 
 
-def ranked(keys: DataFrame, pattern: Pattern) -> DataFrame:
-    """The keys that match, with their class."""
-    rules = pattern.rules()
-    cases = reduce(lambda c, r: c.when(_test(r), r.rank), rules[1:], F.when(_test(rules[0]), rules[0].rank))
-    head = pattern.head()
-    rows = keys.filter(F.col("fold_w").startswith(head)) if head else keys
-    return rows.withColumn("class", cases).filter(F.col("class").isNotNull())
+@dataclass(frozen=True)
+class Asked:
+    """One query of a plan. gate: the typed head that an alias has to equal (or, for a prefix, start with) but
+    for ASCII case; without one, aliases don't answer."""
 
+    label: str
+    pattern: Pattern
+    gate: str | None = None
 
-def search(entries: DataFrame, aliases: DataFrame | None, pattern: Pattern, n: int, subs: bool = False, gate: str | None = None) -> DataFrame:
-    """dict_id, rank, id, key and class of the n best entries of each dictionary.
 
-    entries and aliases carry the keys of ``views.keyed``. gate: the typed head that an alias has to equal
-    (or, for a prefix, start with) but for ASCII case."""
+def _class(pattern: Pattern) -> Column:
+    rules = pattern.rules()
+    return reduce(lambda c, r: c.when(_test(r), r.rank), rules[1:], F.when(_test(rules[0]), rules[0].rank))
+
+
+def _answers(keys: DataFrame, asked: list[Asked], is_alias: bool) -> DataFrame:
+    """The keys that match with q and class, a row for each query that they answer: one scan for all queries."""
+    tests, hits = [], []
+    for a in asked:
+        own = _class(a.pattern)
+        if is_alias:
+            gate = nocase_text(a.gate)
+            spelled = [r.rank for r in a.pattern.rules() if r.spelled]
+            test = F.col("nocase_w").startswith(gate)
+            own = F.when((F.col("nocase_w") == gate) | ~own.isin(spelled), own)
+        else:
+            head = a.pattern.head()
+            test = F.col("fold_w").startswith(head) if head else F.lit(True)
+        tests.append(test)
+        hits.append(F.when(test & own.isNotNull(), F.struct(F.lit(a.label).alias("q"), own.alias("class"))))
+    rows = keys.filter(reduce(lambda x, y: x | y, tests))
+    return rows.withColumn("_h", F.explode(F.array_compact(F.array(*hits)))).select("*", "_h.q", "_h.class").drop("_h")
+
+
+def search_many(entries: DataFrame, aliases: DataFrame | None, asked: list[Asked], n: int, subs: bool = False) -> DataFrame:
+    """q, dict_id, rank, id, key and class of the n best entries of each dictionary for every query, in one plan.
+
+    entries and aliases carry the keys of ``views.keyed``."""
     e = entries if subs else entries.filter(~is_sub())
-    rows = ranked(e.select("dict_id", "id", F.lit(0).alias("is_alias"), F.col("id").alias("row"), "w", "fold_w", "lower_w", "cap_w"), pattern)
-    if aliases is not None and gate:
-        spelled = ",".join(str(r.rank) for r in pattern.rules() if r.spelled)
-        own = nocase_text(gate)
-        a = aliases.filter(F.col("nocase_w").startswith(own)).select("dict_id", F.col("entry_id").alias("id"), F.lit(1).alias("is_alias"), "row", "w", "fold_w", "lower_w", "cap_w", "nocase_w")
-        a = ranked(a, pattern).filter((F.col("nocase_w") == own) | ~F.col("class").isin([int(x) for x in spelled.split(",")]))
-        rows = rows.unionByName(a.drop("nocase_w"))
-    best = Window.partitionBy("dict_id", "id").orderBy(*ORDER)
+    rows = _answers(e.select("dict_id", "id", F.lit(0).alias("is_alias"), F.col("id").alias("row"), "w", "fold_w", "lower_w", "cap_w"), asked, False)
+    gated = [a for a in asked if a.gate]
+    if aliases is not None and gated:
+        a = aliases.select("dict_id", F.col("entry_id").alias("id"), F.lit(1).alias("is_alias"), "row", "w", "fold_w", "lower_w", "cap_w", "nocase_w")
+        rows = rows.unionByName(_answers(a, gated, True).drop("nocase_w"))
+    best = Window.partitionBy("q", "dict_id", "id").orderBy(*ORDER)
     once = rows.withColumn("_k", F.row_number().over(best)).filter("_k = 1")
-    top = Window.partitionBy("dict_id").orderBy(*ORDER, "id")
+    top = Window.partitionBy("q", "dict_id").orderBy(*ORDER, "id")
     out = once.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= clamp(n))
-    return out.select("dict_id", "rank", "id", F.col("w").alias("key"), "class")
+    return out.select("q", "dict_id", "rank", "id", F.col("w").alias("key"), "class")
+
+
+def search(entries: DataFrame, aliases: DataFrame | None, pattern: Pattern, n: int, subs: bool = False, gate: str | None = None) -> DataFrame:
+    """dict_id, rank, id, key and class of the n best entries of each dictionary."""
+    return search_many(entries, aliases, [Asked("", pattern, gate)], n, subs).drop("q")
 
 
 def exact(entries: DataFrame, aliases: DataFrame | None, word: str, n: int = 20) -> DataFrame:

@@ -29,17 +29,17 @@ def _union(rows: list[DataFrame]) -> DataFrame:
 
 def h1_exact(spark, d):
     e, a = _keys(spark, d)
-    return _union([headword.exact(e, a, q, N).withColumn("q", F.lit(q)) for q in EXACTS])
+    return headword.search_many(e, a, [headword.Asked(q, Pattern.literal(q), q) for q in EXACTS], N, subs=True)
 
 
 def h2_prefix_topn(spark, d):
     e, a = _keys(spark, d)
-    return _union([headword.prefix(e, a, q, N).withColumn("q", F.lit(q)) for q in PREFIXES])
+    return headword.search_many(e, a, [headword.Asked(q, Pattern.literal(q, prefix=True), q) for q in PREFIXES], N)
 
 
 def h3_wildcard(spark, d):
     e, _ = _keys(spark, d)
-    return _union([headword.wildcard(e, q, N).withColumn("q", F.lit(q)) for q in WILDCARDS])
+    return headword.search_many(e, None, [headword.Asked(q, Pattern.wildcard(q)) for q in WILDCARDS], N)
 
 
 def h4_prefix_keys(spark, d):
