@@ -1,7 +1,8 @@
 """Alphabetical browsing: pages, places, jumps, the alphabet strip and its chips.
 
-Order is ASCII-case-insensitive bytes, then id; sub-entries are hidden. Positions in a dictionary come from
-counts of smaller keys, never from a global sort on one task."""
+Order is ASCII-case-insensitive bytes, then id; sub-entries are hidden. A place in a dictionary is the count of
+the smaller two-letter heads plus a place among the words of one head, so no task sorts a whole dictionary; the
+alphabet strip is made of counts by first letter alone."""
 
 from __future__ import annotations
 
@@ -21,11 +22,21 @@ def visible(entries: DataFrame) -> DataFrame:
     return entries.filter(~is_sub())
 
 
+def positioned(rows: DataFrame) -> DataFrame:
+    """The rows with pos, their place in browse order."""
+    rows = rows.withColumn("_head", F.substring("nocase_w", 1, 2))
+    ahead = Window.partitionBy("_d").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(F.col("dict_id").alias("_d"), F.col("_head").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    heads = heads.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    own = Window.partitionBy("dict_id", "_head").orderBy("nocase_w", "id")
+    placed = rows.withColumn("_k", F.row_number().over(own)).join(heads, (F.col("dict_id") == F.col("_d")) & (F.col("_head") == F.col("_h")))
+    return placed.withColumn("pos", F.col("_base") + F.col("_k") - 1).drop("_head", "_d", "_h", "_base", "_k")
+
+
 def page(entries: DataFrame, offset: int, n: int) -> DataFrame:
     """Rows offset to offset + n of each dictionary; a word equal to the one before it in the slice is left out."""
-    order = Window.partitionBy("dict_id").orderBy("nocase_w", "id")
-    rows = visible(entries).select("dict_id", "id", "w", "nocase_w").withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < offset + n)
-    rows = rows.filter(F.col("pos") >= offset).withColumn("before", F.lag("w").over(order))
+    rows = positioned(visible(entries).select("dict_id", "id", "w", "nocase_w")).filter((F.col("pos") >= offset) & (F.col("pos") < offset + n))
+    rows = rows.withColumn("before", F.lag("w").over(Window.partitionBy("dict_id").orderBy("pos")))
     return rows.filter(F.col("before").isNull() | (F.col("before") != F.col("w"))).select("dict_id", "pos", "id", "w")
 
 
@@ -74,12 +85,14 @@ def initial(w: Column) -> Column:
 
 
 def runs(entries: DataFrame) -> DataFrame:
-    """dict_id, run, label, offset and count of the stretches of equal initials in browse order."""
-    order = Window.partitionBy("dict_id").orderBy("nocase_w", "id")
-    rows = visible(entries).select("dict_id", "id", "w", "nocase_w", initial(F.col("w")).alias("label"))
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1).withColumn("new", F.when(F.lag("label").over(order) == F.col("label"), 0).otherwise(1))
+    """dict_id, run, label, offset and count of the stretches of equal initials in browse order, from counts by first letter."""
+    letters = visible(entries).groupBy("dict_id", F.substring("nocase_w", 1, 1).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("dict_id").orderBy("letter")
+    rows = letters.withColumn("label", initial(F.col("letter")))
+    rows = rows.withColumn("start", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("new", F.when(F.lag("label").over(order) == F.col("label"), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("dict_id", "run").agg(F.first("label").alias("label"), F.min("pos").alias("offset"), F.count(F.lit(1)).alias("count"))
+    return rows.groupBy("dict_id", "run").agg(F.first("label").alias("label"), F.min("start").alias("offset"), F.sum("n").alias("count"))
 
 
 def alphabet(entries: DataFrame) -> DataFrame:
@@ -88,16 +101,16 @@ def alphabet(entries: DataFrame) -> DataFrame:
 
 
 def chips(entries: DataFrame, least: int = CUT_LEAST, share: int = CUT_SHARE) -> DataFrame:
-    """Runs longer than max(least, total / share) cut into pieces of that length: piece, offset and its first word."""
-    order = Window.partitionBy("dict_id").orderBy("nocase_w", "id")
-    rows = visible(entries).select("dict_id", "id", "w", "nocase_w", initial(F.col("w")).alias("label"))
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1)
-    total = rows.groupBy(F.col("dict_id").alias("d")).agg(F.count(F.lit(1)).alias("total"))
-    rows = rows.join(F.broadcast(total), F.col("dict_id") == F.col("d"))
-    own = Window.partitionBy("dict_id", "label").orderBy("nocase_w", "id")
-    cut = F.greatest(F.lit(least), F.floor(F.col("total") / share)).cast("long")
-    rows = rows.withColumn("piece", F.floor((F.row_number().over(own) - 1) / cut))
-    return rows.groupBy("dict_id", "label", "piece").agg(F.min("pos").alias("offset"), F.count(F.lit(1)).alias("count"), F.min_by("w", "pos").alias("first_word"))
+    """Runs longer than max(least, total / share) cut into pieces of that length: run, piece, offset, count and first word."""
+    found = runs(entries)
+    total = F.sum("count").over(Window.partitionBy("dict_id"))
+    cut = F.greatest(F.lit(least), F.floor(total / share)).cast("long")
+    pieces = found.withColumn("cut", cut).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / F.col("cut")))))
+    start = F.col("offset") + F.col("piece") * F.col("cut")
+    length = F.least(F.col("cut"), F.col("count") - F.col("piece") * F.col("cut"))
+    pieces = pieces.select(F.col("dict_id").alias("_d"), "run", "label", "piece", start.alias("offset"), length.alias("count"))
+    rows = positioned(visible(entries).select("dict_id", "id", "w", "nocase_w"))
+    return pieces.join(rows, (F.col("_d") == F.col("dict_id")) & (F.col("offset") == F.col("pos"))).select("dict_id", "run", "label", "piece", "offset", "count", F.col("w").alias("first_word"))
 
 
 def response(total: int, offset: int, size: int = PAGE_ROWS) -> tuple[int, int]:

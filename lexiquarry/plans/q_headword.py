@@ -258,13 +258,14 @@ ORACLE_SQL = {
     "x5_suggest_merge": f"""{_WITH}, sk AS ({views.keyed_sql("(SELECT DISTINCT trim(key) AS w FROM (" + _prefix_sql("the") + ") WHERE trim(key) <> '')")}),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY lower_w ORDER BY fold_w, lower_w, cap_w, w) AS r, max(CASE WHEN w = 'the' THEN w END) OVER (PARTITION BY lower_w) AS typed FROM sk)
 SELECT rank::INTEGER AS rank, coalesce(typed, w) AS word FROM (SELECT *, row_number() OVER (ORDER BY fold_w, lower_w, cap_w, w) AS rank FROM s1 WHERE r = 1) WHERE rank <= {N}""",
-    "b1_page": f"{_WITH}, {_SHOWN}, p AS (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY nocase_w, id) - 1 AS pos, id, w FROM shown), s AS (SELECT *, lag(w) OVER (PARTITION BY dict_id ORDER BY pos) AS before FROM p WHERE pos >= 300 AND pos < {300 + browse.PAGE_ROWS}) SELECT dict_id, pos::INTEGER AS pos, id, w FROM s WHERE before IS NULL OR before <> w",
+    "b1_page": f"{_WITH}, {_SHOWN}, p AS (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY nocase_w, id) - 1 AS pos, id, w FROM shown), s AS (SELECT *, lag(w) OVER (PARTITION BY dict_id ORDER BY pos) AS before FROM p WHERE pos >= 300 AND pos < {300 + browse.PAGE_ROWS}) SELECT dict_id, pos, id, w FROM s WHERE before IS NULL OR before <> w",
     "b2_locate": f"{_WITH}, {_SHOWN} " + " UNION ALL ".join(f"SELECT dict_id, count(*) FILTER (nocase_w < {fo.quoted(fo.nocase_text(q))}) AS \"offset\", {_LIT(q)} FROM shown GROUP BY dict_id" for q in ("en", "Le", "über", "zz")),
     "b3_jump": f"{_WITH}, {_SHOWN} " + " UNION ALL ".join(f"SELECT *, {_LIT(q)} FROM ({_jump_sql(q)})" for q in ("en", "LE", "él", "qqq", "thzz")),
     "b4_alphabet": f"{_WITH}, {_SHOWN}, i AS (SELECT dict_id, {_INITIAL} AS label, row_number() OVER (PARTITION BY dict_id ORDER BY nocase_w, id) - 1 AS pos FROM shown) SELECT dict_id, label, min(pos) AS \"offset\", count(*) AS count FROM i GROUP BY dict_id, label",
     "b5_chips": f"""{_WITH}, {_SHOWN}, i AS (SELECT dict_id, id, w, nocase_w, {_INITIAL} AS label, row_number() OVER (PARTITION BY dict_id ORDER BY nocase_w, id) - 1 AS pos, count(*) OVER (PARTITION BY dict_id) AS total FROM shown),
-p AS (SELECT *, (row_number() OVER (PARTITION BY dict_id, label ORDER BY nocase_w, id) - 1) // greatest(500, total // 32) AS piece FROM i)
-SELECT dict_id, label, piece, min(pos) AS "offset", count(*) AS count, arg_min(w, pos) AS first_word FROM p GROUP BY dict_id, label, piece""",
+l AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY dict_id ORDER BY pos) = label THEN 0 ELSE 1 END AS new FROM i), r AS (SELECT *, sum(new) OVER (PARTITION BY dict_id ORDER BY pos)::BIGINT AS run FROM l),
+p AS (SELECT *, (row_number() OVER (PARTITION BY dict_id, run ORDER BY pos) - 1) // greatest(500, total // 32) AS piece FROM r)
+SELECT dict_id, run, any_value(label) AS label, piece, min(pos) AS "offset", count(*) AS count, arg_min(w, pos) AS first_word FROM p GROUP BY dict_id, run, piece""",
     "x6_lemma_wave": f"""{_WITH}, missed AS (SELECT DISTINCT lang FROM documents WHERE lang NOT IN (SELECT dict_id FROM ({_exact_sql("zzthes")}))),
 asked AS (SELECT m.lang, l.lemma FROM missed m JOIN (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LEMMAS)}) l(lang, form, lemma) ON l.lang = m.lang AND form = 'zzthes' AND lemma <> 'zzthes')
 SELECT dict_id, rank::INTEGER AS rank, 'zzthes' AS from_word, lemma AS to_word, w AS key FROM (
