@@ -318,29 +318,32 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        flat, offsets = text_buffers(batch["text"])
-        n, kept = [], []
-        lists = batch["gone"]
-        ends, values = lists.offsets.to_numpy(), lists.values
-        where, many = values.field("at").to_numpy().astype(np.int64), values.field("n").to_numpy().astype(np.int64)
-        spans = []
-        for r in range(batch.num_rows):
-            own = flat[offsets[r] : offsets[r + 1]]
-            a, m = where[ends[r] : ends[r + 1]], many[ends[r] : ends[r + 1]] + (LENGTH - 1)
-            if len(a):
-                _, a, m = merged(np.zeros(len(a), np.int64), a, m)
-                mask = np.zeros(len(own) + 1, np.int32)
-                np.add.at(mask, np.minimum(a, len(own)), 1)
-                np.add.at(mask, np.minimum(a.astype(np.int64) + m, len(own)), -1)
-                own = own[np.cumsum(mask)[: len(own)] == 0]
-            spans.append([{"at": int(x), "n": int(y)} for x, y in zip(a, m)])
-            kept.append(own.tobytes())
-            n.append(int(offsets[r + 1] - offsets[r]))
-        columns = [batch[c] for c in batch.schema.names if c not in ("text", "gone")]
-        names = [c for c in batch.schema.names if c not in ("text", "gone")]
-        yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"])
+def _kept(as_text: bool):
+    """The bytes that stay of each text; as text without the characters that were cut in part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = text_buffers(batch["text"])
+            n, kept, spans = [], [], []
+            lists = batch["gone"]
+            ends, values = lists.offsets.to_numpy(), lists.values
+            where, many = values.field("at").to_numpy().astype(np.int64), values.field("n").to_numpy().astype(np.int64)
+            for r in range(batch.num_rows):
+                own = flat[offsets[r] : offsets[r + 1]]
+                a, m = where[ends[r] : ends[r + 1]], many[ends[r] : ends[r + 1]] + (LENGTH - 1)
+                if len(a):
+                    _, a, m = merged(np.zeros(len(a), np.int64), a, m)
+                    mask = np.zeros(len(own) + 1, np.int32)
+                    np.add.at(mask, np.minimum(a, len(own)), 1)
+                    np.add.at(mask, np.minimum(a.astype(np.int64) + m, len(own)), -1)
+                    own = own[np.cumsum(mask)[: len(own)] == 0]
+                spans.append([{"at": int(x), "n": int(y)} for x, y in zip(a, m)])
+                kept.append(own.tobytes().decode("utf-8", "ignore") if as_text else own.tobytes())
+                n.append(int(offsets[r + 1] - offsets[r]))
+            places = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
+            yield pa.record_batch([batch["doc_id"], batch["_row"], pa.array(n, pa.int64()), pa.array(spans, places), pa.array(kept, pa.string() if as_text else pa.binary())], ["doc_id", "_row", "n_bytes", "spans", "kept"])
+
+    return run
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -352,9 +355,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(ordered.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """n_bytes, spans (start and length in bytes of what goes) and kept (the bytes that stay)
-    beside doc_id and the number of each row."""
+def repeated(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """n_bytes, spans (start and length in bytes of what goes) and kept (the bytes that stay, or the text
+    of whole characters) beside doc_id and the number of each row."""
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = numbered(docs.select("doc_id", "text"))
@@ -372,24 +375,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     more = mapped(bodies.repartition(parts, "part"), _compared, _PLACES)
     gone = resolved.filter("part < 0").union(more).groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("at", "n")).alias("gone"))
     joined = texts.join(gone, "_row", "left").select("doc_id", "_row", "text", F.coalesce("gone", F.array().cast("array<struct<at:int,n:int>>")).alias("gone"))
-    return mapped(joined, _kept, "doc_id long, _row long, n_bytes long, spans array<struct<at:long,n:long>>, kept binary")
+    return mapped(joined, _kept(as_text), f"doc_id long, _row long, n_bytes long, spans array<struct<at:long,n:long>>, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated bytes cut from the text; a character cut in part goes whole."""
     held = numbered(docs.select(F.struct("*").alias("own"), "doc_id", "text"))
     # The same numbers again: doc_id itself, or those of the stored rows.
-    cut_ = repeated(held.select(F.col("_row").alias("doc_id"), "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), "kept")
-    cut_ = mapped(cut_, _texts, "_row long, _text string")
+    cut_ = repeated(held.select(F.col("_row").alias("doc_id"), "text"), as_text=True).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("kept").alias("_text"))
     out = held.join(cut_, "_row", "left").withColumn("text", F.coalesce("_text", "text"))
     return out.select(*[F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch({"_row": batch["_row"], "_text": pa.array([b.decode("utf-8", "ignore") for b in batch["kept"].to_pylist()], pa.string())})
-
-
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
     removed = F.col("n_bytes") - F.length("kept")
