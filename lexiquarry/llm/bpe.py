@@ -260,25 +260,32 @@ _OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_s
 def _encoded(shared, lexicon, outputs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(shared.value, lexicon.value)
+        try:
+            for batch in batches:
+                yield from coded(encoder, batch)
+        finally:
+            # The worker lives on for other work; what it remembers of this text would stay with it.
+            encoder.reset()
+
+    def coded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        for batch in batches:
-            row = 0
-            for texts in _texts(batch):
-                got: dict[str, list] = {o: [] for o in outputs}
-                for ids, at in encoder.encode(texts):
-                    decoded = " ".join(map(encoder.decoded.__getitem__, at)) if any(o.startswith("decoded") for o in outputs) else ""
-                    make = {
-                        "n_tokens": lambda: len(ids),
-                        "ids": lambda: ids.astype(np.int32),
-                        "decoded": lambda: decoded,
-                        "ids_sha256": lambda: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
-                        "decoded_sha256": lambda: hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
-                    }
-                    for o in outputs:
-                        got[o].append(make[o]())
-                part = batch.slice(row, len(texts))
-                row += len(texts)
-                yield pa.record_batch([part["kept"], *(pa.array(v, types.get(o, pa.string())) for o, v in got.items())], ["kept", *outputs])
+        row = 0
+        for texts in _texts(batch):
+            got: dict[str, list] = {o: [] for o in outputs}
+            for ids, at in encoder.encode(texts):
+                decoded = " ".join(map(encoder.decoded.__getitem__, at)) if any(o.startswith("decoded") for o in outputs) else ""
+                make = {
+                    "n_tokens": lambda: len(ids),
+                    "ids": lambda: ids.astype(np.int32),
+                    "decoded": lambda: decoded,
+                    "ids_sha256": lambda: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+                    "decoded_sha256": lambda: hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
+                }
+                for o in outputs:
+                    got[o].append(make[o]())
+            part = batch.slice(row, len(texts))
+            row += len(texts)
+            yield pa.record_batch([part["kept"], *(pa.array(v, types.get(o, pa.string())) for o, v in got.items())], ["kept", *outputs])
 
     return run
 
