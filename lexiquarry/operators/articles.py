@@ -7,6 +7,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -118,8 +119,9 @@ _SPLIT = re.compile(r"(<[^>]*>|&(?:#\d+|#x[0-9a-fA-F]+|\w+);)")
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
 
+@lru_cache(1 << 16)
 def fold_word(w: str) -> str:
-    return "".join(map(fold_char, w))
+    return w.lower() if w.isascii() else "".join(map(fold_char, w))
 
 
 class Marker:
@@ -134,6 +136,12 @@ class Marker:
                 own.append((terms, is_open))
         self.phrases = sorted(own[:MOST_PHRASES], key=lambda p: -len(p[0]))
 
+        self.whole = {t[0] for t, o in self.phrases if len(t) > 1 or not o}
+        self.starts = tuple(t[0] for t, o in self.phrases if len(t) == 1 and o)
+
+    def _may_start(self, token: str) -> bool:
+        return token in self.whole or token.startswith(self.starts)
+
     def mark(self, document: str) -> str:
         tokens: list[tuple[int, int, str]] = []
         at, raw = 0, ""
@@ -148,7 +156,7 @@ class Marker:
             at += len(part)
         out, last, i, done = [], 0, 0, 0
         while i < len(tokens) and done < MOST_MARKS:
-            n = self._at(tokens, i)
+            n = self._at(tokens, i) if self._may_start(tokens[i][2]) else 0
             for s, e, _ in tokens[i : i + n]:
                 out += [document[last:s], MARK, document[s:e], "</mark>"]
                 last = e

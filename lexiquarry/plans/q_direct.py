@@ -12,7 +12,7 @@ from lexiquarry.sources import formats, readers
 
 
 def _keys(spark, d):
-    return views.keyed(views.entry(spark, d))
+    return views.store(spark, d)[0]
 
 
 def h16_direct_exact(spark, d):

@@ -11,6 +11,10 @@ from lexiquarry.plans import views
 
 
 def _index(spark, d):
+    return views.held(spark, d, "postings", lambda: _built(spark, d))
+
+
+def _built(spark, d):
     return fulltext.postings(views.doc_entry(spark, d).select("dict_id", "id", "body"))
 
 
@@ -20,7 +24,7 @@ def _p(*terms, open=False):
 
 def k4_postings(spark, d):
     """The inverted index, by term: documents, places and the sum of places."""
-    return _index(spark, d).groupBy("dict_id", "term").agg(F.countDistinct("id").alias("docs"), F.count(F.lit(1)).alias("places"), F.sum("pos").cast("long").alias("pos_sum"))
+    return _built(spark, d).groupBy("dict_id", "term").agg(F.countDistinct("id").alias("docs"), F.count(F.lit(1)).alias("places"), F.sum("pos").cast("long").alias("pos_sum"))
 
 
 def f10_tokens(spark, d):

@@ -17,7 +17,7 @@ WILDCARDS = ("*tion", "?n", "É*", "a*e", "th?")
 
 
 def _keys(spark, d):
-    return views.keyed(views.entry(spark, d)), views.keyed(views.alias(spark, d))
+    return views.store(spark, d)
 
 
 def _union(rows: list[DataFrame]) -> DataFrame:
@@ -107,25 +107,25 @@ def x5_suggest_merge(spark, d):
 
 
 def b1_page(spark, d):
-    return browse.page(views.keyed(views.entry(spark, d)), 300, browse.PAGE_ROWS)
+    return browse.page(views.store(spark, d)[0], 300, browse.PAGE_ROWS)
 
 
 def b2_locate(spark, d):
-    e = views.keyed(views.entry(spark, d))
+    e = views.store(spark, d)[0]
     return _union([browse.locate(e, q).withColumn("q", F.lit(q)) for q in ("en", "Le", "über", "zz")])
 
 
 def b3_jump(spark, d):
-    e = views.keyed(views.entry(spark, d))
+    e = views.store(spark, d)[0]
     return _union([browse.jump(e, q).withColumn("q", F.lit(q)) for q in ("en", "LE", "él", "qqq", "thzz")])
 
 
 def b4_alphabet(spark, d):
-    return browse.alphabet(views.keyed(views.entry(spark, d)))
+    return browse.alphabet(views.store(spark, d)[0])
 
 
 def b5_chips(spark, d):
-    return browse.chips(views.keyed(views.entry(spark, d)), 500, 32)
+    return browse.chips(views.store(spark, d)[0], 500, 32)
 
 
 def x11_word_shape(spark, d):

@@ -6,6 +6,9 @@ of dict_id, never a DataFrame of its own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,24 @@ def keyed(rows: DataFrame, w: str = "w") -> DataFrame:
     return rows.select("*", fo.fold(w).alias("fold_w"), fo.lower1(w).alias("lower_w"), fo.nocase(w).alias("nocase_w"), fo.capmask(w).alias("cap_w"))
 
 
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A prepared table of a library (its store, its index): made once for a session and folder, then read from
+    Spark's cache, as a cluster would read the written tables of ``api.Library``."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HELD:
+        _HELD[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _HELD[key]
+
+
+def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and aliases with their keys."""
+    entries = held(spark, sf_dir, "entry", lambda: keyed(entry(spark, sf_dir)))
+    return entries, held(spark, sf_dir, "alias", lambda: keyed(alias(spark, sf_dir)))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "lang", "text")
     return docs.select(F.col("lang").alias("dict_id"), F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w")).distinct()
