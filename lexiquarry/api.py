@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.operators import articles, browse, ftsq, fulltext, headword, library
+from lexiquarry.operators import articles, browse, ftsq, fulltext, headword, library, suggest
 from lexiquarry.operators.pattern import PatternTooLong
 from lexiquarry.plans.views import keyed
 
@@ -70,8 +70,6 @@ class Library:
         found = fulltext.ladder(index, q)
         terms = sorted({t for p in ftsq.marks(q.rungs[0][1]) for t in p.terms})
         scores = fulltext.bm25_terms(index, terms, 1 << 30).select("dict_id", "id", "score")
-        from pyspark.sql import Window
-
         w = Window.partitionBy("dict_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "id")
         top = found.join(scores, ["dict_id", "id"], "left").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= headword.clamp(n))
         out = headword.with_headword(top.select("dict_id", "rank", "id", "rung"), shown, "body")
@@ -81,9 +79,7 @@ class Library:
         return out
 
     def suggest(self, text: str, n: int = 20) -> list[str]:
-        from lexiquarry.plans.q_headword import _suggested
-
-        return [r["word"] for r in _suggested(headword.prefix(self.entries, self.aliases, text, n), text, n).orderBy("rank").collect()]
+        return [r["word"] for r in suggest.suggested(headword.prefix(self.entries, self.aliases, text, n), text, n).orderBy("rank").collect()]
 
     def browse(self, dict_id: str, word: str = "", size: int = browse.PAGE_ROWS) -> DataFrame:
         """The page of a dictionary that a word falls on."""

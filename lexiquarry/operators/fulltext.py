@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.fold import latin, tables
-from lexiquarry.operators.ftsq import Near, Op, Phrase, Query
+from lexiquarry.operators.ftsq import Near, Phrase, Query
 
 TERM = r"[\p{L}\p{N}\p{M}]+"
 DOC = ["dict_id", "id"]

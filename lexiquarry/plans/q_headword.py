@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import fold as fo
 from lexiquarry.operators import browse, headword
 from lexiquarry.operators.pattern import Pattern
+from lexiquarry.operators.suggest import suggested
 from lexiquarry.plans import views
 
 N = 20
@@ -90,20 +91,10 @@ def x3_scope_order(spark, d):
     return headword.prefix(e, a, "le", 5).join(F.broadcast(scope), F.col("dict_id") == F.col("scope_id")).select("slot", "dict_id", "rank", "key")
 
 
-def _suggested(keys: DataFrame, q: str, n: int) -> DataFrame:
-    """One list of all dictionaries' keys in dictionary order: each word once but for case, the typed spelling if there is one."""
-    rows = keys.select(F.trim("key").alias("w")).filter("w <> ''").distinct().select("w", fo.lower1("w").alias("low"), *[c.alias(f"k{i}") for i, c in enumerate(fo.collation("w")[:3])])
-    order = ["k0", "k1", "k2", "w"]
-    own = Window.partitionBy("low")
-    first = rows.withColumn("r", F.row_number().over(own.orderBy(*order))).withColumn("typed", F.max(F.when(F.col("w") == q, F.col("w"))).over(own)).filter("r = 1")
-    place = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(F.col("rank") <= n)
-    return place.select("rank", F.coalesce("typed", "w").alias("word"))
-
-
 def x5_suggest_merge(spark, d):
     e, a = _keys(spark, d)
     q = "the"
-    return _suggested(headword.prefix(e, a, q, N), q, N)
+    return suggested(headword.prefix(e, a, q, N), q, N)
 
 
 def b1_page(spark, d):
