@@ -59,18 +59,26 @@ WORDS = frozenset(
     "commentlist reply replies respond disqus discussion toolbar pagination pager widget widgets skip".split()
 )
 
+COMMENT = frozenset("comment comments reply replies".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "children", "parent", "slot")
+    __slots__ = ("tag", "marks", "role", "children", "parent", "slot", "holds")
 
     def __init__(self, tag: str, marks: tuple, role: str, parent: Node | None) -> None:
         self.tag, self.marks, self.role, self.parent = tag, marks, role, parent
         self.children: list = []
         self.slot = -1
+        #: Whether an article or main element is inside.
+        self.holds = False
+        if tag in ("article", "main"):
+            while parent is not None and not parent.holds:
+                parent.holds = True
+                parent = parent.parent
 
 
 @lru_cache(4096)
@@ -143,16 +151,26 @@ def parse(text: str) -> Node:
             here = node
 
 
+def _in_article(node: Node) -> bool:
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
 def boilerplate(node: Node) -> bool:
-    """Whether an element is never part of an article."""
+    """Whether an element is never part of an article. One that holds the article is not, whatever it is called."""
+    if node.holds:
+        return False
     if node.tag in NEVER or node.role in ROLES:
         return True
+    if node.tag in ("html", "body", "article", "main", "h1"):
+        return node.tag == "article" and any(w in COMMENT for w in node.marks)
+    hit = {w for w in node.marks if w in WORDS}
     if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return node.tag not in ("html", "body", "article", "main", "h1") and any(w in WORDS for w in node.marks)
+        hit.add("header")
+    # An article has headers of its own.
+    return bool(hit - {"header"}) or bool(hit) and not _in_article(node)
 
 
 def _plain(parts: list[str]) -> str:

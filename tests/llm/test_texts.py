@@ -92,7 +92,9 @@ SHELL = '<html><head><title>t</title><style>p{{}}</style><script>var x="</p>";</
 def test_main_text_of_single_pages():
     assert wrappers.main_text(SHELL.format(ARTICLE)) == "A title\n\nFirst & bold\n\nSecond line"
     assert wrappers.main_text(SHELL.format("<div class=post><h1>T</h1><p>body text here</p></div>")) == "T\n\nbody text here"
-    for text in ("", None, "<", "<p", "<script>", "<!--", "<a href='", "&", "<article>"):
+    wide = '<div class="page with-sidebar"><article><div class="article-header"><h1>T</h1></div><p>p</p><div class="share">s</div></article><article class="comment"><p>no</p></article></div><div class="header">site</div>'
+    assert wrappers.main_text(wide) == "T\n\np"
+    for text in ("", None, "<", "<p", "<script>", "<!--", "<a href='", "&", "<article>", "<p title='x"):
         assert wrappers.main_text(text) in ("", "<", "&")
 
 
