@@ -116,6 +116,76 @@ class WordBpe:
                 ranks[i] = get(new << 17 | ids[i + 1], _NEVER)
         return tuple(ids)
 
+    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """``merge`` of many pieces: in each round every word makes its one next merge, all at once."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        raw: list[bytes] = []
+        which: list[int] = []
+        for i, w in enumerate(words):
+            b = w.encode("utf-8")
+            if w[0] == "\0" or len(b) > 48:
+                out[i] = self.merge(w)
+            else:
+                raw.append(b)
+                which.append(i)
+        if not raw:
+            return out
+        if not hasattr(self, "_sorted"):
+            keys = np.fromiter(self.merges.keys(), np.int64, len(self.merges))
+            order = np.argsort(keys)
+            self._sorted = keys[order], np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
+            self._tables = np.array(self.inner, np.int64), np.array(self.final, np.int64), np.array(self.made, np.int64)
+        keys, ranks = self._sorted
+        inner, final, made = self._tables
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << 17 | b
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, ranks[at], _NEVER)
+
+        size = np.array([len(b) for b in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        ids = inner[flat]
+        last = np.cumsum(size) - 1
+        ids[last] = final[flat[last]]
+        word = np.repeat(np.arange(len(raw)), size)
+        rank = np.full(len(ids), _NEVER, np.int64)
+        rank[:-1] = rank_of(ids[:-1], ids[1:])
+        rank[last] = _NEVER
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            count = np.diff(np.append(start, len(ids)))
+            best = np.minimum.reduceat(rank, start)
+            over = np.repeat(best == _NEVER, count)
+            if over.any():
+                done.append((word[over], ids[over]))
+                ids, word, rank = ids[~over], word[~over], rank[~over]
+                best, count = best[best != _NEVER], count[best != _NEVER]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, count))
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+            ids[at] = made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            before = moved[(moved > 0) & (word[moved - 1] == word[moved])]
+            rank[before - 1] = rank_of(ids[before - 1], ids[before])
+            nexts = np.minimum(moved + 1, len(ids) - 1)
+            inside = (nexts > moved) & (word[nexts] == word[moved])
+            rank[moved] = np.where(inside, rank_of(ids[moved], ids[nexts]), _NEVER)
+        word = np.concatenate([w for w, _ in done])
+        order = np.argsort(word, kind="stable")
+        flat_ids = np.concatenate([i for _, i in done])[order].tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(raw))).tolist()
+        begin = 0
+        for i, end in zip(which, ends):
+            out[i] = tuple(flat_ids[begin:end])
+            begin = end
+        return out
+
     @property
     def specials_marked(self) -> dict[str, int]:
         if not hasattr(self, "_marked"):
@@ -163,7 +233,8 @@ class Encoder:
         if not fresh:
             return
         found = self.lexicon.look_up([w.encode("utf-8") for w in fresh])
-        new = [x if x is not None else self.bpe.merge(w) for w, x in zip(fresh, found)]
+        unseen = iter(self.bpe.merge_many([w for w, x in zip(fresh, found) if x is None]))
+        new = [x if x is not None else next(unseen) for x in found]
         self.index.update(zip(fresh, range(len(self.decoded), len(self.decoded) + len(fresh))))
         name = self.bpe.names.__getitem__
         self.decoded += [" ".join(map(name, x)) for x in new]
