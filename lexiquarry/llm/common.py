@@ -58,6 +58,13 @@ def cut(frame: DataFrame) -> DataFrame:
 ARROW_ROWS = 1024
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run: Callable) -> Callable:
     """The function, with memory given back to the system when a task ends: workers live on and
     share the executor's memory with its other processes."""
@@ -67,9 +74,7 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return go
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keeping, mapped, table
+from .common import give_back, keeping, mapped, table
 from .ftrl import Ftrl
 
 BITS = 16
@@ -106,7 +106,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vector(at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x, n = np.unique(at, return_counts=True)
-    return x, SCALE * n / len(at) * idf[x]
+    return x, (SCALE * n / len(at) * idf[x]).astype(np.float32)
 
 
 def fit(texts: list[str], langs: list[str], idf: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, float]:
@@ -169,6 +169,7 @@ def learn(docs: DataFrame) -> tuple | None:
     if not sample.num_rows:
         return None
     model = fit(sample["text"].to_pylist(), sample["lang"].to_pylist(), idf)
+    give_back()
     return model
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, steps, table, text_buffers
+from .common import give_back, mapped, mixed, steps, table, text_buffers
 from .ftrl import Ftrl
 from .shingles import word_hashes
 
@@ -111,7 +111,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     toxic = sample["toxic"].to_numpy().astype(np.float64)
     if not 0 < toxic.sum() < len(toxic):
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if toxic.sum() else -30.0
-    return fit(vectors, toxic, counts[1] / (counts[0] + counts[1]))
+    model = fit(vectors, toxic, counts[1] / (counts[0] + counts[1]))
+    give_back()
+    return model
 
 
 def _scored(model):
