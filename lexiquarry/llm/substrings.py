@@ -8,7 +8,7 @@ Equal strings have the same least 32-byte hash, so that hash deals them to a sha
 maximal run of string starts with one least hash is a "context", and equal
 strings are only ever in contexts of one hash.
 
-1. Contexts are dealt by their hash, packed by batch, as hash, content hash and place (24 bytes
+1. Contexts are dealt by their hash, packed by batch, as hash, content hash and place (28 bytes
    for about 36 bytes of text). Of equal contexts (64-bit content hash within one least hash) all but the first go.
    Where one least hash has several different contexts, the first of each is asked for, as is a context
    that may repeat itself (its least hash occurs twice close together).
@@ -46,7 +46,7 @@ FREQUENT = 1e-4
 MANY = 5000
 #: Contexts or strings that a task holds before it deals them, and bytes of a shard's suffix array.
 HELD = 1 << 19
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -139,6 +139,8 @@ def _dealt(frequent, parts: int):
 
     def packed(kind: int, k1, k2, doc, at, n, to) -> Iterator[pa.RecordBatch]:
         part = (to % np.uint64(parts)).astype(np.int32)
+        # Beside its shard, 32 bits of a least hash are enough: two that share them only cause a comparison.
+        k1 = ((k1 // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if kind == 0 else k1
         order = np.argsort(part, kind="stable")
         part, k1, k2, doc, at, n = part[order], k1[order], k2[order], doc[order], at[order], n[order]
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
@@ -218,39 +220,36 @@ def _places(part, key, doc, at, n) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"part": pa.array(part[s], pa.int32()), "key": pa.array(key[s]), "doc_id": pa.array(doc[s]), "at": pa.array(at[s], pa.int32()), "n": pa.array(n[s], pa.int32())})
 
 
-def _resolved(parts: int):
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of starts that go (part -1), and the contexts to compare byte by byte (by part)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {0: [], 1: [], 2: []}
-        for batch in batches:
-            for kind, *x in zip(*(batch[c].to_pylist() for c in ("kind", "k1", "k2", "doc", "at", "n"))):
-                got[kind].append(tuple(np.frombuffer(b, t) for b, t in zip(x, (np.uint64, np.uint64, np.int64, np.int32, np.int32))))
-        gone = [x[2:] for x in got.pop(2)]
-        for kind in (0, 1):
-            if not got[kind]:
-                continue
-            k1, k2, doc, at, n = (np.concatenate(x) for x in zip(*got.pop(kind)))
-            order = np.lexsort((k2, k1))
-            k1, k2, doc, at, n = k1[order], k2[order], doc[order], at[order], n[order]
-            new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
-            # Only what shares both hashes has to be put in order of place.
-            many = ~(new & np.append(new[1:], True))
-            sub = np.flatnonzero(many)
-            o = sub[np.lexsort((at[sub], doc[sub], k2[sub], k1[sub]))]
-            doc[sub], at[sub], n[sub] = doc[o], at[o], n[o]
-            gone.append((doc[~new], at[~new], np.abs(n[~new])))
-            if kind == 0:
-                k1, doc, at, n = k1[new], doc[new], at[new], n[new]
-                same = k1[1:] == k1[:-1]
-                several = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (n < 0)
-                k1, doc, at, n = k1[several], doc[several], at[several], np.abs(n[several])
-                yield from _places((k1 % np.uint64(parts)).astype(np.int32), k1.view(np.int64), doc, at, n)
-        if gone:
-            doc, at, n = merged(*(np.concatenate(x) for x in zip(*gone)))
-            yield from _places(np.full(len(doc), -1, np.int32), np.zeros(len(doc), np.int64), doc, at, n)
-
-    return run
+    got: dict[int, list] = {0: [], 1: [], 2: []}
+    for batch in batches:
+        for part, kind, k1, *x in zip(*(batch[c].to_pylist() for c in ("part", "kind", "k1", "k2", "doc", "at", "n"))):
+            key = np.frombuffer(k1, np.uint32).astype(np.uint64) | np.uint64(part << 32) if kind == 0 else np.frombuffer(k1, np.uint64)
+            got[kind].append((key, *(np.frombuffer(b, t) for b, t in zip(x, (np.uint64, np.int64, np.int32, np.int32)))))
+    gone = [x[2:] for x in got.pop(2)]
+    for kind in (0, 1):
+        if not got[kind]:
+            continue
+        k1, k2, doc, at, n = (np.concatenate(x) for x in zip(*got.pop(kind)))
+        order = np.lexsort((k2, k1))
+        k1, k2, doc, at, n = k1[order], k2[order], doc[order], at[order], n[order]
+        new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+        # Only what shares both hashes has to be put in order of place.
+        many = ~(new & np.append(new[1:], True))
+        sub = np.flatnonzero(many)
+        o = sub[np.lexsort((at[sub], doc[sub], k2[sub], k1[sub]))]
+        doc[sub], at[sub], n[sub] = doc[o], at[o], n[o]
+        gone.append((doc[~new], at[~new], np.abs(n[~new])))
+        if kind == 0:
+            k1, doc, at, n = k1[new], doc[new], at[new], n[new]
+            same = k1[1:] == k1[:-1]
+            several = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (n < 0)
+            k1, doc, at, n = k1[several], doc[several], at[several], np.abs(n[several])
+            yield from _places((k1 >> np.uint64(32)).astype(np.int32), k1.view(np.int64), doc, at, n)
+    if gone:
+        doc, at, n = merged(*(np.concatenate(x) for x in zip(*gone)))
+        yield from _places(np.full(len(doc), -1, np.int32), np.zeros(len(doc), np.int64), doc, at, n)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +366,7 @@ def repeated(docs: DataFrame, as_text: bool = False) -> DataFrame:
     late = counts.filter(F.col("n") >= max(FREQUENT * total, MANY)).select("h").toArrow()["h"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
     dealt = mapped(plain, _dealt(frequent, parts), _PACKED).repartition(parts, "part")
-    resolved = stored(mapped(dealt, _resolved(parts), _PLACES))
+    resolved = stored(mapped(dealt, _resolved, _PLACES))
 
     texts = texts.repartition(parts, "_row")
     asked = resolved.filter("part >= 0").groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("part", "key", "at", "n")).alias("asked"))
