@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: File-name suffixes and the format that they stand for; the longest one decides.
-MAIN = {".csv": "csv", ".tsv": "csv", ".json": "json", ".ifo": "stardict", ".dsl": "dsl", ".dsl.dz": "dsl", ".dict.md": "markdown", ".slob": "slob", ".mdx": "mdx", ".zim": "zim", ".zimaa": "zim", ".bgl": "bgl"}
+MAIN = {".csv": "csv", ".tsv": "csv", ".json": "json", ".ifo": "stardict", ".dsl": "dsl", ".dsl.dz": "dsl", ".dict.md": "markdown", ".slob": "slob", ".mdx": "mdx", ".zim": "zim", ".zimaa": "zim", ".bgl": "bgl", "text.db": "store"}
 COMPANION = {".idx": "stardict", ".idx.gz": "stardict", ".dict": "stardict", ".dict.dz": "stardict", ".syn": "stardict", ".mdd": "mdx", "_abrv.dsl": "dsl", "_abrv.dsl.dz": "dsl", ".ann": "dsl", ".dsl.files.zip": "dsl", ".res.zip": "stardict"}
 CANDIDATE = {".zip", ".7z", ".tar.gz", ".gz"}
 

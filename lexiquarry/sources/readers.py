@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.shipping import ship
-from lexiquarry.sources import containers
+from lexiquarry.sources import containers, stores
 from lexiquarry.sources import formats as rec
 
 RECORD = "dict_id string, seq long, headwords array<string>, body string, kind string, link_to string, problem string"
@@ -57,7 +57,7 @@ def _parsed(rows):
             if form == "stardict":
                 found = rec.read_stardict(rec.stardict_info(files[name]), by_suffix(".idx", ".idx.gz"), by_suffix(".dict", ".dict.dz"), by_suffix(".syn"))
             else:
-                found = {"csv": rec.read_csv, "json": rec.read_json, "dsl": rec.read_dsl, "markdown": rec.read_markdown, "slob": rec.read_slob, "zim": containers.read_zim, "mdx": containers.read_mdx}[form](files[name])
+                found = {"csv": rec.read_csv, "json": rec.read_json, "dsl": rec.read_dsl, "markdown": rec.read_markdown, "slob": rec.read_slob, "zim": containers.read_zim, "mdx": containers.read_mdx, "store": stores.read_store}[form](files[name])
             for r in found:
                 link = r.link_to or rec.link_target(r.body)
                 out.append((own, len(out), r.headwords, "" if link else r.body, r.kind, link, None))
