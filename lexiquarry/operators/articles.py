@@ -41,10 +41,37 @@ def mapped_column(frame: DataFrame, source: str, target: str, change: Callable[[
     return frame.mapInArrow(run, schema)
 
 
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CLASS = re.compile(r"(?:^|,)\s*\w*\.([\w-]+)\s*(?=,|$)")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I)
+
+
+def css_displays(css: str) -> dict[str, str]:
+    """block, inline or none of each class that a style sheet gives a display by its name alone; later rules win."""
+    out: dict[str, str] = {}
+    for selectors, body in _RULE.findall(_COMMENT.sub("", css)):
+        found = _DISPLAY.findall(body)
+        if found and not selectors.strip().startswith("@"):
+            kind = "none" if found[-1] == "none" else "inline" if found[-1].startswith("inline") else "block"
+            for name in _CLASS.findall(selectors):
+                out[name] = kind
+    return out
+
+
 class _Text(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, displays: dict[str, str]) -> None:
         super().__init__(convert_charrefs=True)
         self.lines, self.parts, self.skip = [], [], 0
+        self.displays, self.open = displays, []
+
+    def display(self, tag: str, attrs: list) -> str:
+        for k, v in attrs:
+            if k == "class":
+                for name in (v or "").split():
+                    if name in self.displays:
+                        return self.displays[name]
+        return "block" if tag in BLOCKS else "inline"
 
     def cut(self) -> None:
         line = " ".join("".join(self.parts).split())
@@ -53,25 +80,40 @@ class _Text(HTMLParser):
         self.parts.clear()
 
     def handle_starttag(self, tag, attrs):
-        if tag in RAW:
+        if tag in VOID:
+            if tag == "br":
+                self.cut()
+            return
+        kind = "none" if tag in RAW else self.display(tag, attrs)
+        self.open.append((tag, kind))
+        if kind == "none":
             self.skip += 1
-        elif tag in BLOCKS or tag == "br":
+        elif kind == "block":
             self.cut()
 
     def handle_endtag(self, tag):
-        if tag in RAW:
-            self.skip = max(0, self.skip - 1)
-        elif tag in BLOCKS:
-            self.cut()
+        if not any(t == tag for t, _ in self.open):
+            if tag in BLOCKS:
+                self.cut()
+            return
+        while self.open:
+            last, kind = self.open.pop()
+            if kind == "none":
+                self.skip -= 1
+            elif kind == "block":
+                self.cut()
+            if last == tag:
+                break
 
     def handle_data(self, data):
         if not self.skip:
             self.parts.append(data)
 
 
-def article_text(document: str) -> str:
-    """Readable text: blocks and breaks are lines, raw elements are gone, white space is squeezed."""
-    p = _Text()
+def article_text(document: str, displays: dict[str, str] | None = None) -> str:
+    """Readable text: blocks and breaks are lines, raw elements are gone, white space is squeezed. displays: what
+    style sheets say of classes (``css_displays``)."""
+    p = _Text(displays or {})
     p.feed(document)
     p.close()
     p.cut()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.fold import fold, fold_text, nocase_text, upper1
+from lexiquarry.functions.numbering import numbered
 from lexiquarry.operators.headword import is_sub, search
 from lexiquarry.operators.pattern import Pattern
 
@@ -24,13 +25,7 @@ def visible(entries: DataFrame) -> DataFrame:
 
 def positioned(rows: DataFrame) -> DataFrame:
     """The rows with pos, their place in browse order."""
-    rows = rows.withColumn("_head", F.substring("nocase_w", 1, 2))
-    ahead = Window.partitionBy("_d").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy(F.col("dict_id").alias("_d"), F.col("_head").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    heads = heads.withColumn("_base", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    own = Window.partitionBy("dict_id", "_head").orderBy("nocase_w", "id")
-    placed = rows.withColumn("_k", F.row_number().over(own)).join(heads, (F.col("dict_id") == F.col("_d")) & (F.col("_head") == F.col("_h")))
-    return placed.withColumn("pos", F.col("_base") + F.col("_k") - 1).drop("_head", "_d", "_h", "_base", "_k")
+    return numbered(rows, "dict_id", F.substring("nocase_w", 1, 2), ["nocase_w", "id"], "pos")
 
 
 def page(entries: DataFrame, offset: int, n: int) -> DataFrame:

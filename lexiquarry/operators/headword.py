@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.fold import nocase_text, quoted
+from lexiquarry.functions.numbering import numbered
 from lexiquarry.operators.pattern import CASELESS, FOLDED, TYPED, Pattern, Rule
 
 KEYS = {TYPED: "w", CASELESS: "lower_w", FOLDED: "fold_w"}
@@ -113,8 +114,7 @@ def with_headword(hits: DataFrame, entries: DataFrame, *columns: str) -> DataFra
 
 def keywords(entries: DataFrame, offset: int, n: int) -> DataFrame:
     """A slice of the visible headwords of each dictionary in id order."""
-    own = Window.partitionBy("dict_id").orderBy("id")
-    rows = entries.filter(~is_sub()).withColumn("pos", F.row_number().over(own) - 1).filter(F.col("pos") >= offset)
+    rows = numbered(entries.filter(~is_sub()), "dict_id", F.floor(F.col("id") / 65536), ["id"], "pos").filter(F.col("pos") >= offset)
     return (rows.filter(F.col("pos") < offset + n) if n > 0 else rows).select("dict_id", "pos", "id", "w")
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import fold as fo
 from lexiquarry.functions import text as tx
+from lexiquarry.functions.numbering import numbered
 
+#: Rows in a row that are numbered together.
+STRETCH = 1 << 16
 HISTORY_MOST, FAVOURITES_MOST, WORD_MOST = 500, 10_000, 256
 
 
@@ -19,12 +22,11 @@ def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     words = F.filter(F.transform("headwords", lambda w: F.trim(w)), lambda w: w != "")
     rows = raw.withColumn("words", words).filter(F.size("words") > 0)
     links = rows.filter(F.coalesce("link_to", F.lit("")) != "").select("dict_id", "seq", F.element_at("words", 1).alias("w"), F.trim("link_to").alias("target"))
-    own = Window.partitionBy("dict_id").orderBy("seq")
-    kept = rows.filter(F.coalesce("link_to", F.lit("")) == "").withColumn("id", F.row_number().over(own).cast("long"))
+    kept = numbered(rows.filter(F.coalesce("link_to", F.lit("")) == ""), "dict_id", F.floor(F.col("seq") / STRETCH), ["seq"], "pos").withColumn("id", F.col("pos") + 1)
     entries = kept.select("dict_id", "id", F.element_at("words", 1).alias("w"), tx.body_of(F.col("body"), F.col("kind")).alias("body"))
     more = kept.select("dict_id", "id", F.element_at("words", 1).alias("first"), F.posexplode("words").alias("k", "w")).filter((F.col("k") > 0) & (F.col("w") != F.col("first")))
-    row = Window.partitionBy("dict_id").orderBy("id", "k")
-    aliases = more.withColumn("row", F.row_number().over(row).cast("long")).select("dict_id", "row", "w", F.col("id").alias("entry_id"))
+    more = numbered(more, "dict_id", F.floor(F.col("id") / STRETCH), ["id", "k"], "pos")
+    aliases = more.select("dict_id", (F.col("pos") + 1).alias("row"), "w", F.col("id").alias("entry_id"))
     return entries, aliases, links
 
 

@@ -241,7 +241,7 @@ ORACLE_SQL = {
     "h4_prefix_keys": f"{_WITH} SELECT dict_id, rank, key FROM ({_prefix_sql('en', 50)})",
     "h9_hits_with_headword": f"{_WITH} SELECT h.*, e.w AS headword FROM ({_prefix_sql('Th')}) h LEFT JOIN entry e ON e.dict_id = h.dict_id AND e.id = h.id",
     "h10_collation_order": f"WITH {views.HEAD_SQL}, tk AS ({views.keyed_sql('token')}) SELECT dict_id, w, row_number() OVER (PARTITION BY dict_id, substr(fold_w, 1, 2) ORDER BY fold_w, lower_w, cap_w, w)::INTEGER AS place FROM tk",
-    "h13_keywords": f"WITH {views.HEAD_SQL} SELECT dict_id, pos::INTEGER AS pos, id, w FROM (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY id) - 1 AS pos, id, w FROM entry WHERE NOT w LIKE '@_%') WHERE pos >= 100 AND pos < 150",
+    "h13_keywords": f"WITH {views.HEAD_SQL} SELECT dict_id, pos, id, w FROM (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY id) - 1 AS pos, id, w FROM entry WHERE NOT w LIKE '@_%') WHERE pos >= 100 AND pos < 150",
     "h14_has": f"{_WITH} SELECT DISTINCT k.dict_id, b.word FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{views.WORD}')) AS word FROM benchmark) b JOIN (SELECT dict_id, fold_w FROM ek WHERE NOT w LIKE '@_%' UNION SELECT dict_id, fold_w FROM ak) k ON k.fold_w = {fo.translate_sql('b.word', 'fold')}",
     "s2_entry_aliases": f"WITH {views.HEAD_SQL} SELECT e.dict_id, e.id, e.w, coalesce(a.aliases, '') AS aliases FROM entry e LEFT JOIN (SELECT dict_id, entry_id, string_agg(w, '|' ORDER BY row) AS aliases FROM alias GROUP BY ALL) a ON a.dict_id = e.dict_id AND a.entry_id = e.id",
     "x1_fanout_slots": f"{_WITH} SELECT s.dict_id, CASE WHEN h.hits IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(h.hits, 0) AS hits, h.best FROM (SELECT DISTINCT lang AS dict_id FROM documents) s LEFT JOIN (SELECT dict_id, count(*) AS hits, arg_min(key, rank) AS best FROM ({_prefix_sql('Én')}) GROUP BY dict_id) h ON h.dict_id = s.dict_id",

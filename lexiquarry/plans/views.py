@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import fold as fo
+from lexiquarry.functions.numbering import numbered
 
 WORD = r"[\p{L}\p{M}]+"
 
@@ -62,16 +63,15 @@ def entry(spark: SparkSession, sf_dir: str, subs: bool = True) -> DataFrame:
     words = headwords(spark, sf_dir).filter(F.col("twin").isNull()).select("dict_id", "w")
     if subs:
         words = words.union(words.filter(F.pmod(F.octet_length("w"), F.lit(20)) == 7).select("dict_id", F.concat(F.lit("@"), "w")))
-    ids = Window.partitionBy("dict_id").orderBy("w")
-    return words.select("dict_id", F.row_number().over(ids).cast("long").alias("id"), "w")
+    return numbered(words, "dict_id", F.substring("w", 1, 2), ["w"], "pos").select("dict_id", (F.col("pos") + 1).alias("id"), "w")
 
 
 def alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = headwords(spark, sf_dir).filter(F.col("twin").isNotNull())
     e = entry(spark, sf_dir).select(F.col("dict_id").alias("_d"), F.col("id").alias("entry_id"), F.col("w").alias("_w"))
     joined = rows.join(e, (F.col("dict_id") == F.col("_d")) & (F.col("twin") == F.col("_w")))
-    order = Window.partitionBy("dict_id").orderBy("w")
-    return joined.select("dict_id", F.row_number().over(order).cast("long").alias("row"), "w", "entry_id")
+    placed = numbered(joined.select("dict_id", "w", "entry_id"), "dict_id", F.substring("w", 1, 2), ["w"], "pos")
+    return placed.select("dict_id", (F.col("pos") + 1).alias("row"), "w", "entry_id")
 
 
 def doc_entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,19 @@ def test_globs():
 def test_rules():
     rows, problems = languages.parse_rules("[a]\nx = One, `t,wo`\nbad\n")
     assert rows == [("a", "x", "sub", "one"), ("a", "x", "regex", "t,wo")] and len(problems) == 1
+
+
+def test_displays():
+    css = "/* .c { display: none } */ .a, span.b { color: red; display: block } @media print { .a { display: none } } .hid{display:none;} p .deep { display: block }"
+    found = articles.css_displays(css)
+    assert found["b"] == "block" and found["hid"] == "none" and "deep" not in found and "c" not in found
+    assert articles.article_text('x<span class="b">y</span>z<span class="hid">no</span><p class="i">p</p>', {"b": "block", "hid": "none", "i": "inline"}) == "x\ny\nzp"
+
+
+def test_scalars():
+    from lexiquarry.functions import scalars
+
+    assert [scalars.parse_size(x) for x in ("1GB", "10 kb", "7", "1.5M", "x", "")] == [1 << 30, 10 << 10, 7, 3 << 19, None, None]
+    assert scalars.parse_list(" a, b ,,c ") == ["a", "b", "c"]
+    assert [scalars.parse_count(x) for x in ("3", "-1", "all", "")] == [3, None, 0, None]
+    assert scalars.keyword_range(10, 8, 5) == (8, 10) and scalars.keyword_range(10, 99, 5) == (10, 10) and scalars.keyword_range(10, -3, 0) == (0, 10)
