@@ -5,7 +5,7 @@ between, hashed to 2^22 coordinates. Words are runs of ASCII letters and digits
 of bytes above 127. L1 leaves few weights other than zero; those alone are broadcast,
 and they are at most the coordinates of the training sample.
 
-Training takes at most ``POSITIVES`` toxic and ``NEGATIVES`` other texts, picked by a hash of their ids
+Training takes about ``POSITIVES`` toxic and ``NEGATIVES`` other texts, picked by a hash of their ids
 among all labelled rows with ``crc32(doc_id) mod 4 != 2``; the intercept is corrected to the share of
 toxic rows among all of those. Scoring reads the whole text of every document and nothing else.
 
