@@ -6,10 +6,11 @@ documents.
 
 1. language: documents whose language cannot be told (no text, or no letter) go.
 2. near_duplicates: of each component of five-word shingle Jaccard links of 0.75 or more, the
-   document with the least doc_id stays (of equal doc_ids all). Documents without words are alone in theirs.
+   document with the least doc_id stays (of equal doc_ids one row). Documents without words are alone in theirs.
 3. repeats: bytes covered by a 100-byte string that starts earlier are cut from the texts; a character cut
    in part goes whole. A text may end up empty; its row stays.
-4. decontamination: documents that hold 75 % of a benchmark item's shingles go.
+4. decontamination: documents that hold 75 % of a benchmark item's shingles go. Stages 2 and 4 decide for each row, not
+   for its doc_id.
 5. bpe: doc_id, ids and n_tokens of every text that is left.
 
 Nulls in other columns are kept as they are; a null doc_id is never preferred over another

@@ -98,6 +98,16 @@ def keeping(docs: DataFrame, keep: list[str], inputs: dict[str, Column], run: Ca
     return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], *made.names)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """own (all columns of a row) and _row, a number of each row alone, and whether it is the doc_id: it is where those
+    differ. Else numbers mean no order, and the rows are written, so that each keeps its own."""
+    held = docs.select(F.struct("*").alias("own"))
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
+    if twice.isEmpty():
+        return held.withColumn("_row", F.col("own.doc_id").cast("long")), True
+    return stored(held.withColumn("_row", F.monotonically_increasing_id())), False
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of parts that packed rows are dealt to: the session's own sizing."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.shipping import ship
 
-from .common import cut, mapped, partitions, stored, table, text_buffers
+from .common import cut, mapped, partitions, stored, table, text_buffers, told_apart
 from .components import components
 from .shingles import distinct, row_shingles
 
@@ -429,10 +429,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, but of each component only those of the least doc_id."""
-    placed = jaccard_components(docs)
-    gone = placed.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, with all their columns, but of each component one row: that of the least doc_id, nulls last, and
+    of equal doc_ids that of the least hash of the text (then any of the equal rows)."""
+    held, by_id = told_apart(docs)
+    placed = jaccard_components(held.select(F.col("_row").alias("doc_id"), F.col("own.text").alias("text")))
+    if by_id:
+        gone = placed.filter(F.col("doc_id") != F.col("component_id"))
+    else:
+        order = F.struct(F.col("own.doc_id").isNull().alias("none"), F.col("own.doc_id").alias("id"), F.xxhash64("own.text").alias("text"), F.col("_row"))
+        placed = stored(placed.join(held.select("_row", order.alias("order")), F.col("doc_id") == F.col("_row")).select("doc_id", "component_id", "order"))
+        stays = placed.groupBy("component_id").agg(F.min("order")["_row"].alias("stays"))
+        gone = placed.join(stays, "component_id").filter(F.col("doc_id") != F.col("stays"))
+    left = held.join(gone.select(F.col("doc_id").alias("_row")), "_row", "left_anti")
+    return left.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,27 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 6, 7}
 
 
+ROWS = [(None, "p q r s t u"), (None, "k l m n o p"), (None, None), (None, None), (7, "p q r s t u"), (7, "v w x y z a"), (7, "v w x y z a"), (3, "c c d d e e"), (3, "c c d d e e"), (3, "f f g g h h"), (None, "i i j j k k"), (None, "i i j j k k")]
+
+
+def test_one_of_each_goes_by_row(spark):
+    left = jaccard.one_of_each(spark.createDataFrame(ROWS, DOCS).withColumn("_row", F.lit("clash")))
+    assert left.columns == ["doc_id", "text", "_row"]
+    want = [(None, "k l m n o p"), (None, None), (None, None), (7, "p q r s t u"), (7, "v w x y z a"), (3, "c c d d e e"), (3, "f f g g h h"), (None, "i i j j k k")]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    odd = [(r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(ODD, DOCS)).collect()]
+    assert (None, None) in odd and (None, "a b c d e") not in odd and odd.count((7, "a b c d e")) == 1
+
+
+@pytest.mark.parametrize("small", [decontaminate.SMALL_SHINGLES, 0])
+def test_decontamination_goes_by_row(spark, small, monkeypatch):
+    monkeypatch.setattr(decontaminate.contained_items, "__defaults__", (small,))
+    items = spark.createDataFrame([(1, "p q r s t u"), (2, "c c d d e e")], "item_id long, text string")
+    left = decontaminate.clean(spark.createDataFrame(ROWS, DOCS).withColumn("_row", F.lit("clash")), items)
+    assert left.columns == ["doc_id", "text", "_row"]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((r for r in ROWS if r[1] not in ("p q r s t u", "c c d d e e")), key=str)
+
+
 def test_suffix_array():
     import numpy as np
 
