@@ -10,7 +10,7 @@ A temperature, fitted on a fifth of the sample that is kept aside, calibrates th
 The features of a text are linear in its n-grams, so scoring adds one row of weights for each n-gram.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 1; without any
-labelled text everything is ``und``; documents with a null lang or null doc_id are not learned from; null
+labelled text everything is ``und``, and ``kept`` keeps what has a letter; documents with a null lang or null doc_id are not learned from; null
 doc_ids are not held out; equal texts get equal results; texts are read whole; columns besides those
 named are not looked at (``rejected`` and ``kept`` keep them).
 """
@@ -195,6 +195,12 @@ def _predicted(model):
     return run
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a text has a letter."""
+    for batch in batches:
+        yield pa.record_batch([batch["kept"], pa.array([any(map(str.isalpha, t or "")) for t in batch["text"].to_pylist()], pa.bool_())], ["kept", "some"])
+
+
 def predicted(docs: DataFrame, model: tuple | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` (none of them named lang_pred or score), lang_pred and score of every text."""
     if model is None:
@@ -206,7 +212,9 @@ def predicted(docs: DataFrame, model: tuple | None, keep: list[str]) -> DataFram
 def kept(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, with their own columns alone."""
     rows = docs.select(F.struct("*").alias("own"), "text")
-    known = predicted(rows, learn(docs), ["own"]).filter(F.col("lang_pred") != UNKNOWN)
+    model = learn(docs)
+    # With nothing to learn from, only texts without a letter go.
+    known = keeping(rows, ["own"], {"text": F.col("text")}, _lettered, "some boolean").filter("some") if model is None else predicted(rows, model, ["own"]).filter(F.col("lang_pred") != UNKNOWN)
     return known.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 

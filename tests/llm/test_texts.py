@@ -136,6 +136,13 @@ def test_language_odd_rows(spark):
     assert language.kept(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, None, "some text"), (2, None, None), (3, None, "12 !"), (None, None, "漢字"), (5, None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("some", F.lit("clash"))
+    left = language.kept(frame)
+    assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == {1, None}
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
