@@ -4,8 +4,8 @@ Pages of one host share a template. Each page becomes a tree of its block elemen
 label and shape count as one. A first pass counts the distinct trees of each host, with the texts (by hash) that
 stand at every node; trees are merged per host by simple tree matching into a template, and rare texts
 are forgotten on the way. A second pass aligns every page with its host's template in the same way: texts that
-nearly all pages of the host have at a node are template, the slots whose text varies are content. Inside the page's article (or else the region
-that holds most of the varying text) content is what is left after template nodes and the
+nearly all pages of the host have at a node are template, the slots whose text varies are content. Inside the page's articles (its main elements where
+those hold more text, the whole page where it has neither) content is what is left after template nodes and the
 elements that never belong to an article: navigation, headers and footers of the page, asides, forms, scripts,
 styles, adverts, notices and comments, told by tag, role, class or id.
 
@@ -352,19 +352,12 @@ def _all(node: Node, tags: tuple) -> list[Node]:
     return out
 
 
-def _region(root: Node, template: tuple[frozenset, ...] | None) -> Node:
-    for tags in (("article",), ("main",)):
-        found = _all(root, tags)
-        if found:
-            return max(found, key=lambda n: _size(n, template)) if len(found) > 1 else found[0]
-    here, size = root, _size(root, template)
-    while size:
-        inner = [(c, _size(c, template)) for c in here.children if not isinstance(c, str) and c.tag not in RAW and not boilerplate(c)]
-        best = max(inner, key=lambda x: x[1], default=(None, 0))
-        if best[0] is None or best[1] < 0.7 * size or best[0].tag in ("p", "h1", "h2", "ul", "ol", "table"):
-            return here
-        here = best[0]
-    return here
+def _region(root: Node, template: tuple[frozenset, ...] | None) -> list[Node]:
+    """All articles of a page, or its main elements where those hold more text than the articles, or else the page."""
+    articles, mains = _all(root, ("article",)), _all(root, ("main",))
+    if articles and mains:
+        return max(articles, mains, key=lambda found: sum(_size(n, template) for n in found))
+    return articles or mains or [root]
 
 
 def main_text(html: str | None, template: str | None = None) -> str:
@@ -375,7 +368,7 @@ def main_text(html: str | None, template: str | None = None) -> str:
     fixed = None
     if template:
         fixed = _constant(template, skeleton(root)[0])
-    blocks = _texts(_region(root, fixed), fixed, boilerplate)
+    blocks = [b for n in _region(root, fixed) for b in _texts(n, fixed, boilerplate)]
     content = [t for t, _, is_template in blocks if not is_template]
     return "\n\n".join(content or [t for t, _, _ in blocks])
 

@@ -114,6 +114,14 @@ def test_a_host_of_copies_keeps_its_text(spark):
     assert {r.text for r in wrappers.extracted(frame).collect()} == {"A title\n\nFirst & bold\n\nSecond line"}
 
 
+def test_main_text_keeps_all_regions():
+    assert wrappers.main_text(f"<body><h1>Title</h1><p>lead</p><div><p>{'long text ' * 30}</p><p>b</p></div><p>end</p></body>") == f"Title\n\nlead\n\n{('long text ' * 30).strip()}\n\nb\n\nend"
+    assert wrappers.main_text("<article><p>first</p></article><article class=comment>no</article><div><article><p>second, longer</p></article></div>") == "first\n\nsecond, longer"
+    assert wrappers.main_text("<main><h1>Story</h1><p>All of the story</p></main><div><article>Teaser</article></div>") == "Story\n\nAll of the story"
+    assert wrappers.main_text("<main><h1>Story</h1><p>All of the story</p><article>Teaser</article></main>") == "Story\n\nAll of the story\n\nTeaser"
+    assert wrappers.main_text("<main>Hi</main><article>All of the story</article>") == "All of the story"
+
+
 def test_language_on_held_out_rows(spark):
     lang = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
     rows = language.op10_language(spark, LARGER).join(lang, "doc_id").collect()
