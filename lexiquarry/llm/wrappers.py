@@ -14,8 +14,8 @@ of a host and task, however many pages the host has. Templates are broadcast whe
 ``SMALL_BYTES`` in all, else joined.
 
 Defined cases: null or empty html has the empty text; a page whose host is unknown, or one of fewer than
-``LEAST_PAGES`` pages, has no template nodes; where template nodes are all of a page's text they stay (a host
-of copies); cut-off pages end where they end; rows with equal page_ids are extracted each; a null url counts as the empty host;
+``LEAST_PAGES`` pages, has no template nodes; where template nodes are all of a page's text, or over half of
+that of its articles or main elements, they stay (a host of copies or near copies); cut-off pages end where they end; rows with equal page_ids are extracted each; a null url counts as the empty host;
 other columns are kept by ``extracted`` (its own text and n_chars replace those of the same names).
 """
 
@@ -368,8 +368,11 @@ def main_text(html: str | None, template: str | None = None) -> str:
     fixed = None
     if template:
         fixed = _constant(template, skeleton(root)[0])
-    blocks = [b for n in _region(root, fixed) for b in _texts(n, fixed, boilerplate)]
+    region = _region(root, fixed)
+    blocks = [b for n in region for b in _texts(n, fixed, boilerplate)]
     content = [t for t, _, is_template in blocks if not is_template]
+    if content and region != [root] and 2 * sum(map(len, content)) < sum(len(t) for t, _, _ in blocks):
+        content = []
     return "\n\n".join(content or [t for t, _, _ in blocks])
 
 

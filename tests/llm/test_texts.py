@@ -122,6 +122,16 @@ def test_main_text_keeps_all_regions():
     assert wrappers.main_text("<main>Hi</main><article>All of the story</article>") == "All of the story"
 
 
+def test_a_host_of_near_copies_keeps_its_text(spark):
+    body = [f"Paragraph {i} of the one article of this host" for i in range(6)]
+    near = lambda k: [f"Title {k}", *(f"Changed {k}" if k % 2 and i == k % 6 else p for i, p in enumerate(body)), "Read more"]
+    other = lambda k: [f"Other {k}", *(f"Sentence {i} of page {k} alone" for i in range(6)), "Read more"]
+    pages = {k: near(k) if k % 10 else other(k) for k in range(40)}
+    frame = spark.createDataFrame([(k, f"http://c/{k}", SHELL.format("<article>" + "".join(f"<p>{t}</p>" for t in p) + "</article>")) for k, p in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in wrappers.extracted(frame).collect()}
+    assert all(got[k] == (p if k % 10 else p[:-1]) for k, p in pages.items())
+
+
 def test_language_on_held_out_rows(spark):
     lang = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
     rows = language.op10_language(spark, LARGER).join(lang, "doc_id").collect()
