@@ -15,7 +15,7 @@ of a host and task, however many pages the host has. Templates are broadcast whe
 
 Defined cases: null or empty html has the empty text; a page whose host is unknown, or one of fewer than
 ``LEAST_PAGES`` pages, has no template nodes; where template nodes are all of a page's text, or over half of
-that of its articles or main elements, they stay (a host of copies or near copies); cut-off pages end where they end; rows with equal page_ids are extracted each; a null url counts as the empty host;
+that of its articles or main elements, they stay (a host of copies or near copies); cut-off pages end where they end; elements nested deeper than ``DEEP`` keep their text in the element above; rows with equal page_ids are extracted each; a null url counts as the empty host;
 other columns are kept by ``extracted`` (its own text and n_chars replace those of the same names).
 """
 
@@ -42,6 +42,8 @@ LEAST_PAGES = 5
 #: Texts counted at a node before those on under RARE of its pages are forgotten; counts are short by RARE at most.
 COUNTED, RARE = 256, 0.05
 SMALL_BYTES = 8 << 20
+#: Levels of a tree. Of elements below, only those that decide what is content are levels of their own, MORE at most.
+DEEP, MORE = 200, 8
 #: Distinct trees that a task holds before it hands them on.
 HELD = 4000
 
@@ -67,12 +69,13 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "children", "parent", "slot", "holds")
+    __slots__ = ("tag", "marks", "role", "children", "parent", "slot", "depth", "holds")
 
     def __init__(self, tag: str, marks: tuple, role: str, parent: Node | None) -> None:
         self.tag, self.marks, self.role, self.parent = tag, marks, role, parent
         self.children: list = []
         self.slot = -1
+        self.depth = parent.depth + 1 if parent is not None else 0
         #: Whether an article or main element is inside.
         self.holds = False
         if tag in ("article", "main"):
@@ -96,8 +99,11 @@ def _attributes(text: str) -> tuple[tuple, str]:
 
 
 def parse(text: str) -> Node:
-    """The tree of a page; never fails."""
+    """The tree of a page; never fails. Text below ``DEEP`` levels stands in the element above, in its place and as
+    blocks of its own."""
     root = Node("#root", (), "", None)
+    # Elements that are open in a node without being levels.
+    hidden: dict[Node, list[str]] = {}
     here, at = root, 0
     lowered: str | None = None
     search = _TOKEN.search
@@ -116,18 +122,25 @@ def parse(text: str) -> Node:
         tag = name.lower()
         if m[1]:
             up = here
-            while up is not root and up.tag != tag:
+            while up is not root and up.tag != tag and not (hidden and tag in hidden.get(up, ())):
                 up = up.parent
-            if up is not root:
+            if hidden and tag in (own := hidden.get(up, [])):
+                here = up
+                while own.pop() != tag:
+                    pass
+                _stand_in(tag, here)
+            elif up is not root:
                 here = up.parent
             continue
-        if tag in ENDS_P or tag == "p":
+        if hidden and hidden.get(here):
+            pass
+        elif tag in ENDS_P or tag == "p":
             up = here
             while up is not root and up.tag not in BLOCK:
                 up = up.parent
             if up.tag == "p":
                 here = up.parent
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and not (hidden and hidden.get(here)):
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
             up = here
             while up is not root and up.tag not in same and up.tag not in ("ul", "ol", "dl", "table", "tbody", "tr" if tag in ("td", "th") else "table"):
@@ -136,6 +149,10 @@ def parse(text: str) -> Node:
                 here = up.parent
         attrs = m[3]
         node = Node(tag, *(_attributes(attrs) if attrs.strip() else ((), "")), here)
+        if node.depth > DEEP and tag not in RAW and tag not in VOID and not attrs.endswith("/") and not _decides(node):
+            hidden.setdefault(here, []).append(tag)
+            _stand_in(tag, here)
+            continue
         here.children.append(node)
         if tag in RAW:
             if lowered is None:
@@ -151,6 +168,25 @@ def parse(text: str) -> Node:
             here = node
 
 
+def _stand_in(tag: str, here: Node) -> None:
+    """The break in the text that an element makes which is no level."""
+    if tag in BLOCK or tag in SPACED:
+        here.children.append(Node("hr" if tag in BLOCK else "br", (), "", here))
+
+
+def _decides(node: Node) -> bool:
+    """Whether an element below DEEP levels has to be one: the first article, link or boilerplate on its way down."""
+    if node.depth > DEEP + MORE:
+        return False
+    if node.tag in ("article", "main"):
+        return boilerplate(node) or not _in_article(node)
+    never = boilerplate(node)
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main") and up.tag != node.tag and not (never and boilerplate(up)):
+        up = up.parent
+    return (never or node.tag == "a") and (up is None or up.tag in ("article", "main") or never and not boilerplate(up))
+
+
 def _in_article(node: Node) -> bool:
     up = node.parent
     while up is not None and up.tag not in ("article", "main"):

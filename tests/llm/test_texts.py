@@ -132,6 +132,24 @@ def test_a_host_of_near_copies_keeps_its_text(spark):
     assert all(got[k] == (p if k % 10 else p[:-1]) for k, p in pages.items())
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "font", "p", "li", "td", "article", "nav"])
+def test_deeply_nested_pages(tag):
+    n = 10_000
+    many = f"<{tag}>" * n
+    text = {"nav": "x\n\nx", "article": "in"}.get(tag, "x\n\nin\n\nx")
+    assert wrappers.main_text("<p>x</p>" + many + "in" + f"</{tag}>" * n + "<p>x</p>") == text
+    if tag not in ("nav", "article"):
+        assert wrappers.main_text(many + SHELL.format(ARTICLE)) == "A title\n\nFirst & bold\n\nSecond line"
+        assert wrappers.main_text(many + "<div>one<div>two</div>three</div><nav>no<div>no</div></nav>four") == "one\n\ntwo\n\nthree\n\nfour"
+
+
+def test_a_deep_page_beside_others(spark):
+    deep = "<div>" * 10_000 + "deep text" + "</div>" * 10_000
+    rows = [(k, f"http://d/{k}", f"<div>Site</div><p>Text {k}</p>" if k else deep) for k in range(12)] + [(20 + k, f"http://e/{k}", f"{deep}<p>{k}</p>") for k in range(9)]
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "deep text" and all(got[k] == f"Text {k}" for k in range(1, 12)) and all(got[20 + k].endswith(str(k)) for k in range(9))
+
+
 def test_language_on_held_out_rows(spark):
     lang = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
     rows = language.op10_language(spark, LARGER).join(lang, "doc_id").collect()
