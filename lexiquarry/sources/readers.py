@@ -15,10 +15,14 @@ from lexiquarry.sources import containers, stores
 from lexiquarry.sources import formats as rec
 
 RECORD = "dict_id string, seq long, headwords array<string>, body string, kind string, link_to string, problem string"
-#: Files above this are left to readers of their own: a binary row holds the whole file.
+#: Files above this are not read, and named in ``problem``: a binary row holds the whole file.
 MOST_BYTES = 1 << 30
 
 
+#: The files of a StarDict dictionary beside its main one.
+SETS = (".idx", ".idx.gz", ".dict", ".dict.dz", ".syn")
+
+
 def _suffix_case(name: Column, what: str) -> Column:
     """Kind or format of a file name by its longest known suffix, as one CASE."""
     known = [(s, "main", f) for s, f in rec.MAIN.items()] + [(s, "companion", f) for s, f in rec.COMPANION.items()] + [(s, "candidate", "") for s in rec.CANDIDATE]
@@ -54,6 +58,9 @@ def _parsed(rows):
     for name in sorted(n for n, k in kinds.items() if k[0] == "main"):
         form = kinds[name][1]
         try:
+            large = [n for n, c in files.items() if c is None and (n == name or form == "stardict" and n.lower().endswith(SETS))]
+            if large:
+                raise ValueError(f"not read, as {', '.join(sorted(large))} is above {MOST_BYTES} bytes")
             if form == "stardict":
                 found = rec.read_stardict(rec.stardict_info(files[name]), by_suffix(".idx", ".idx.gz"), by_suffix(".dict", ".dict.dz"), by_suffix(".syn"))
             else:
@@ -65,6 +72,7 @@ def _parsed(rows):
             out.append((own, -1, [], "", "", "", f"{name}: no reader for {form}"))
         except Exception as e:  # noqa: BLE001  a bad file is reported, the others are read
             out.append((own, -1, [], "", "", "", f"{name}: {type(e).__name__}: {e}"))
+    out += [(own, -1, [], "", "", "", f"{n}: not read, as it is above {MOST_BYTES} bytes") for n in sorted(files) if files[n] is None and kinds[n][0] == "companion"]
     types = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string()]
     columns = list(zip(*out)) if out else [[]] * 7
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["dict_id", "seq", "headwords", "body", "kind", "link_to", "problem"])
@@ -72,10 +80,12 @@ def _parsed(rows):
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Raw records of every dictionary below a folder, for ``operators.library.ingest``; rows with a problem name files
-    that were not read."""
+    that were not read, those above ``MOST_BYTES`` among them."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"/\.[^/]*(/|$)"))
-    rows = files.select(_stem(F.col("path")).alias("stem"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(~F.col("path").rlike(r"/\.[^/]*(/|$)"))
+    own = [_stem(F.col("path")).alias("stem"), F.element_at(F.split("path", "/"), -1).alias("name")]
+    # Large files come by name alone: their bytes are never asked for.
+    rows = files.filter(F.col("length") <= MOST_BYTES).select(*own, "content").union(files.filter(F.col("length") > MOST_BYTES).select(*own, F.lit(None).cast("binary")))
     return rows.groupBy("stem").applyInArrow(_parsed, RECORD)
 
 

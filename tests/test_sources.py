@@ -7,6 +7,7 @@ import pytest
 from lexiquarry import sources
 from lexiquarry.api import Library, parse_mode
 from lexiquarry.sources import formats as rec
+from lexiquarry.sources import readers
 
 
 @pytest.mark.parametrize(
@@ -86,3 +87,13 @@ def test_folders(spark, tmp_path):
 
 def test_modes():
     assert [parse_mode(m) for m in (None, "fuzzy", "FTS", "exact", "bad")] == ["prefix", "prefix", "fts", "exact", "prefix"]
+
+
+def test_large_files_are_reported(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_BYTES", 200)
+    info, index, body, _ = stardict()
+    for name, content in {"s.ifo": info, "s.idx.gz": index, "s.dict": gzip.decompress(body) + b"x" * 200, "big.csv": b"a,b\n" * 100, "small.csv": b"word,plain\n", "small.mdd": b"x" * 201, "other.bin": b"x" * 201}.items():
+        (tmp_path / name).write_bytes(content)
+    rows = sources.records(spark, str(tmp_path)).collect()
+    assert [r.headwords for r in rows if r.problem is None] == [["word"]]
+    assert sorted(r.problem.split(":")[0] for r in rows if r.problem) == ["big.csv", "s.dict", "s.ifo", "small.mdd"]
