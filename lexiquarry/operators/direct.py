@@ -39,20 +39,29 @@ def prefix_or_folded(entries: DataFrame, word: str, n: int) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= n).select("dict_id", "rank", "id", "w")
 
 
-def follow(entries: DataFrame, links: DataFrame, depth: int = 5) -> DataFrame:
-    """Every word with the entries that its chain of redirects ends at; homographs fan out, circles end in nothing.
+def _cut(frame: DataFrame) -> DataFrame:
+    """The rows without their lineage: in ``spark.checkpoint.dir``, or on the executors where that is unset."""
+    spark = frame.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not found:
+            return frame.localCheckpoint()
+        spark.sparkContext.setCheckpointDir(found)
+    return frame.checkpoint()
 
-    links: dict_id, w, target. Chains longer than ``depth`` are left open (id null)."""
-    ends = entries.select("dict_id", F.col("w").alias("at"), "id")
-    rows = links.select("dict_id", "w", F.col("target").alias("at"), F.array("w").alias("seen"))
-    done = None
+
+def follow(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Every word with the entries that its chain of redirects ends at; homographs fan out, circles end in nothing (id null).
+
+    links: dict_id, w, target. Chains of any length are followed, a step a round, until no word reaches a new target."""
     step = links.select(F.col("dict_id").alias("_d"), F.col("w").alias("_w"), F.col("target").alias("_t"))
-    for _ in range(depth):
-        hit = rows.join(ends, ["dict_id", "at"]).select("dict_id", "w", "id")
-        done = hit if done is None else done.union(hit)
-        rows = rows.join(step, (F.col("dict_id") == F.col("_d")) & (F.col("at") == F.col("_w"))).filter(~F.array_contains("seen", F.col("at")))
-        rows = rows.select("dict_id", "w", F.col("_t").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
-    found = done.distinct()
+    parts = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    new = reached = _cut(links.select("dict_id", "w", F.col("target").alias("at")).filter(F.col("at").isNotNull()).distinct())
+    while not new.isEmpty():
+        ahead = new.join(step, (F.col("dict_id") == F.col("_d")) & (F.col("at") == F.col("_w"))).select("dict_id", "w", F.col("_t").alias("at"))
+        new = _cut(ahead.filter(F.col("at").isNotNull()).distinct().join(reached, ["dict_id", "w", "at"], "left_anti"))
+        reached = _cut(reached.union(new).coalesce(parts))
+    found = reached.join(entries.select("dict_id", F.col("w").alias("at"), "id"), ["dict_id", "at"]).select("dict_id", "w", "id").distinct()
     return links.select("dict_id", "w").distinct().join(found, ["dict_id", "w"], "left")
 
 

@@ -33,7 +33,7 @@ def _chains(spark, d):
 
 
 def h18_follow_redirects(spark, d):
-    return direct.follow(*_chains(spark, d), depth=16)
+    return direct.follow(*_chains(spark, d))
 
 
 def h19_path_variants(spark, d):

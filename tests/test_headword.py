@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lexiquarry.functions import fold as fo
-from lexiquarry.operators import headword
+from lexiquarry.operators import direct, headword
 from lexiquarry.operators.pattern import ANY, ONE, Pattern, PatternTooLong
 from lexiquarry.plans.views import keyed
 
@@ -78,3 +78,11 @@ def test_aliases_need_the_typed_head(spark):
 def test_bodies_are_not_read_before_the_cut(spark):
     plan = headword.prefix(keyed(spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("p_brand dict_id", "p_partkey id", "p_name w")), None, "gr")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "p_type" not in plan.split("Physical Plan")[1]
+
+
+def test_redirects_of_any_length(spark):
+    chain = [("d", f"w{k}", f"w{k + 1}") for k in range(24)] + [("d", "a", "b"), ("d", "b", "a"), ("d", "b", "w23"), ("d", "x", "y"), ("d", "y", "x"), ("d", "n", None), ("e", "w20", "w21")]
+    links = spark.createDataFrame(chain, "dict_id string, w string, target string")
+    entries = spark.createDataFrame([("d", "w24", 1), ("d", "w24", 2)], "dict_id string, w string, id long")
+    got = {tuple(r) for r in direct.follow(entries, links).select("dict_id", "w", "id").collect()}
+    assert got == {("d", w, i) for w in [*(f"w{k}" for k in range(24)), "a", "b"] for i in (1, 2)} | {("d", w, None) for w in "xyn"} | {("e", "w20", None)}
