@@ -7,10 +7,10 @@ a dictionary page), row numbers, keys and lengths are delta encoded, row groups
 Parquet's page indexes let a reader skip to the pages of a key range. The places of all
 documents come from the metadata columns alone.
 
-The tokenizers library takes about 0.26 CPU seconds a megabyte of text, more than a whole run may. So
-plain texts go to tiktoken's merge loop, with ranks and split pattern of the same tokenizer file, which
-gives the same ids (tested) four times as fast; the tokenizers library takes the texts with special tokens and
-whatever tiktoken refuses.
+The tokenizers library takes about 0.26 CPU seconds a megabyte of text, more than a whole run may. So texts are cut
+into pieces in numpy (``pieces``: classes and pattern are the library's own), and the library's model encodes every distinct
+piece that a worker has not met before; a piece has the same ids wherever it stands. Texts with special tokens, and all texts under a
+tokenizer file with another normalizer or pre-tokenizer, go to the library whole.
 
 Defined cases: a null or empty text has the end id alone; rows with equal doc_ids follow each other in
 order of text, null doc_ids come first; texts are taken whole; an empty table gives no rows; columns
@@ -19,6 +19,7 @@ besides doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 import zlib
@@ -29,17 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, shared_dir, table
+from .common import mapped, partitions, shared_dir, steps, table, text_buffers
+from .pieces import Lists, Memory, byte_ends, code_points, kinds, starts
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 DICTIONARY_BYTES = 1 << 20
-#: Ids that a task holds before it hands them on.
-HELD = 1 << 18
-
-#: Fixed value: the split pattern of byte-level BPE vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of text that are encoded at once, at least one text; pieces that a worker remembers.
+STEP = 1 << 19
+REMEMBERED = 1 << 20
+#: New pieces that are encoded in one call of the library.
+TOGETHER = 32
 
 
 def byte_symbols() -> dict[str, int]:
@@ -49,58 +51,105 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteBpe:
-    """One byte-level tokenizer file."""
-
-    def __init__(self, data: bytes) -> None:
-        import tiktoken
-        from tokenizers import Tokenizer
+def _pair(merge) -> list[str]:
+    return merge.split(" ") if isinstance(merge, str) else merge
 
-        self.library = Tokenizer.from_str(data.decode("utf-8"))
-        spec = json.loads(data)
-        self.specials = [t["content"] for t in spec["added_tokens"]]
-        symbol = byte_symbols()
-        # Ids rise with the merge ranks in these files; that is what tiktoken goes by.
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        made = [vocab[a + b] for a, b in merges]
-        special = {s for s in self.specials}
-        ranks = {bytes(symbol[c] for c in t): i for t, i in vocab.items() if t not in special}
-        ordered = all(x < y for x, y in zip(made, made[1:])) and len(ranks) == 256 + len(set(made))
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not any(s in text for s in self.specials):
-            try:
-                return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int32)
-            except (ValueError, RuntimeError):
-                pass
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+class ByteBpe(Memory):
+    """One byte-level tokenizer file and the pieces met lately. kind: the classes of its code points."""
 
+    def __init__(self, data: bytes, kind: np.ndarray | None) -> None:
+        from tokenizers import Tokenizer
 
-_LOADED: dict[int, ByteBpe] = {}
+        self.library, self.kind = Tokenizer.from_str(data.decode("utf-8")), kind
+        self.specials = [t["content"].encode("utf-8") for t in json.loads(data)["added_tokens"]]
+        symbol = byte_symbols()
+        self.symbols = {b: ord(c) for c, b in symbol.items()}
+        # A byte that is in no UTF-8 text and in no merge keeps pieces apart that are encoded in one call.
+        model = json.loads(data)["model"]
+        merged = set("".join(a + b for a, b in map(_pair, model["merges"])))
+        free = [c for c, b in symbol.items() if b >= 0xF8 and c not in merged and c in model["vocab"]]
+        self.apart = (bytes([symbol[free[0]]]), model["vocab"][free[0]]) if free else None
+        super().__init__(REMEMBERED)
+
+    def reset(self) -> None:
+        super().reset()
+        self.ids = Lists(np.int32)
+
+    def learn(self, words: list[bytes]) -> None:
+        tokenize = self.library.model.tokenize
+        if self.apart is None:
+            self.ids.add([[t.id for t in tokenize(w.decode("latin-1").translate(self.symbols))] for w in words])
+            return
+        byte, end = self.apart
+        found: list[int] = []
+        for i in range(0, len(words), TOGETHER):
+            found += [t.id for t in tokenize(byte.join(words[i : i + TOGETHER]).decode("latin-1").translate(self.symbols))]
+            found.append(end)
+        ids = np.array(found, np.int32)
+        ends = np.flatnonzero(ids == end)
+        self.ids.extend(np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+
+    def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after another, and where those of each text end (with a leading 0)."""
+        data = flat.tobytes()
+        if self.kind is None or any(s in data for s in self.specials):
+            return self._whole([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+        if not len(flat):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        if flat.max() < 128:
+            code, ends, rows = flat.astype(np.uint32), None, offsets
+        else:
+            code = code_points(data)
+            ends = byte_ends(code)
+            rows = np.searchsorted(ends, offsets)
+        first = rows[:-1][np.diff(rows) > 0]
+        begin = np.flatnonzero(starts(code, self.kind[code], first, True))
+        of_row = np.searchsorted(begin, rows)
+        if ends is not None:
+            begin = ends[begin]
+        ids, at = self.ids_of(flat, begin)
+        return ids, at[of_row]
+
+    def ids_of(self, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers = self.numbers(flat, begin, np.diff(begin, append=len(flat)))
+        return self.ids.joined(numbers)
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.library.encode(t.decode("utf-8"), add_special_tokens=False).ids, np.int32) for t in texts]
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+
+
+def piece_kinds(data: bytes) -> np.ndarray | None:
+    """The classes of all code points, if the tokenizer file cuts texts as ``pieces`` does; else None."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(data)
+    before = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or spec["model"].get("type") != "BPE" or any(t["normalized"] for t in spec["added_tokens"]):
+        return None
+    return kinds(Tokenizer.from_str(data.decode("utf-8")).pre_tokenizer)
+
+
+_LOADED: dict[bytes, ByteBpe] = {}
 
 
 def _encoded(shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(shared.value)
+        data, kind = shared.value
+        key = hashlib.sha256(data).digest()
         if key not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = ByteBpe(shared.value)
+            _LOADED[key] = ByteBpe(data, kind)
         bpe = _LOADED[key]
         for batch in batches:
-            i, n = 0, batch.num_rows
-            while i < n:
-                rows, size = [], 0
-                while i + len(rows) < n and size < HELD:
-                    ids = bpe.encode(batch["text"][i + len(rows)].as_py() or "")
-                    rows.append(np.append(ids, np.int32(end_id)))
-                    size += len(ids) + 1
-                j = i + len(rows)
-                lengths = np.array([len(r) for r in rows], np.int32)
-                ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
-                yield pa.record_batch([batch["doc_id"][i:j].cast(pa.int64()), pa.array(lengths), ids], ["doc_id", "n_tokens", "ids"])
-                i = j
+            flat, offsets = text_buffers(batch["text"])
+            for i, j in steps(offsets, STEP):
+                ids, ends = bpe.encode(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids = np.insert(ids, ends[1:], np.int32(end_id))
+                ends += np.arange(j - i + 1)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.record_batch([batch["doc_id"][i:j].cast(pa.int64()), pa.array(np.diff(ends).astype(np.int32)), lists], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -109,7 +158,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Write the token files of the documents to a folder."""
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    shared = spark.sparkContext.broadcast((data, piece_kinds(data)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select("doc_id", "text")
     ordered = rows.repartitionByRange(partitions(spark), order[0]).sortWithinPartitions(*order)

@@ -5,12 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexiquarry.llm import bpe, language, lexicon, tokenfiles, toxicity, wrappers
+from lexiquarry.llm import bpe, language, lexicon, pieces, tokenfiles, toxicity, wrappers
+from lexiquarry.llm.common import text_buffers
 
 FOLDER = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -71,6 +73,44 @@ def test_token_files_round_trip(spark, tmp_path):
     assert tokenfiles.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def every_code_point(step=64):
+    """Texts in which every code point stands between letters, digits, spaces and signs."""
+    codes = pieces.scalars()
+    return ["".join("ab%scd 1%s2 %s !%s'%ss " % ((chr(c),) * 5) for c in codes[i : i + step]) for i in range(0, len(codes), step)]
+
+
+def test_token_files_equal_the_library_on_every_code_point():
+    with open(tokenfiles.tokenizer_path(), "rb") as f:
+        data = f.read()
+    library = Tokenizer.from_file(tokenfiles.tokenizer_path())
+    bpe_ = tokenfiles.ByteBpe(data, tokenfiles.piece_kinds(data))
+    rng = random.Random(1)
+    texts = every_code_point() + ["".join(rng.choice("ab 'sStTreveml lld12 \n\t é!") for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + ["", " ", "<|endoftext|> x"]
+    for k in range(0, len(texts), 500):
+        own = texts[k : k + 500]
+        ids, ends = bpe_.encode(*text_buffers(pa.array(own)))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
+
+
+def test_memory_forgets_and_numbers_anew():
+    met = []
+
+    class Short(pieces.Memory):
+        def reset(self):
+            super().reset()
+            met.clear()
+
+        def learn(self, words):
+            met.extend(words)
+
+    memory, rng = Short(300), random.Random(4)
+    for _ in range(60):
+        words = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([1, 2, 8, 9, 15, 16, 17, 40]))) for _ in range(50)]
+        size = np.array([len(w) for w in words])
+        numbers = memory.numbers(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+        assert [met[n] for n in numbers] == words and len(met) == len(set(met)) <= 300
+
+
 def test_op9_and_op6_on_a_table(spark):
     byte, word = Tokenizer.from_file(tokenfiles.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
