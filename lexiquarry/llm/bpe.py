@@ -2,7 +2,8 @@
 
 A tokenizer file with end-of-word BPE (``word_bpe_49k.json``) is applied exactly as the
 tokenizers library applies it: special tokens are cut out of the raw text, the rest is composed (NFC) and
-lower-cased, split into words, spelled in byte symbols and merged by rank. The words that are
+lower-cased, split into words, spelled in byte symbols and merged by rank. Classes and lower case of characters are
+the library's own (``pieces``); words with a character that may compose with another go through its normalizer. The words that are
 frequent over all documents are merged once, on the driver, and compiled into a minimal acyclic
 transducer with id outputs, which every Python worker maps into memory; other words are
 merged exactly when they are met. Decoding joins the symbols of the ids with spaces, as the library does
@@ -18,18 +19,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keeping, mapped, stored, table
+from .common import keeping, mapped, steps, stored, table, text_buffers
 from .lexicon import Builder, Lexicon
+from .pieces import DROPPING, SPACE, Lists, Memory, byte_ends, code_points, kinds, starts
 
 #: Words in the transducer at most; those of the greatest counts, by powers of two.
 LISTED = 1 << 16
@@ -48,19 +49,50 @@ def byte_symbols() -> list[str]:
 _NEVER = 1 << 30
 
 
+#: Code points from here on are left to the normalizer: few had letters in Unicode 3.2.
+LATER = 0x30000
+
+
+def letters(normalizer) -> tuple[np.ndarray, np.ndarray]:
+    """For every code point what the normalizer makes of it, and whether that holds in any text: it does for those that
+    never compose with the one before. Only code points of Unicode 3.2 are asked for, whose composition is the same in all later versions."""
+    old = unicodedata.ucd_3_2_0
+    second = {int(x[1], 16) for c in range(LATER) if (x := old.decomposition(chr(c)).split()) and len(x) == 2 and x[0][0] != "<"}
+    # The Hangul vowels and final consonants, which compose by rule.
+    second.update(range(0x1160, 0x1200))
+    codes = [c for c in range(1, LATER) if not 0xD800 <= c <= 0xDFFF and old.category(chr(c)) != "Cn" and not old.combining(chr(c)) and c not in second]
+    made = normalizer.normalize_str("\0".join(map(chr, codes))).split("\0")
+    lower, plain = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+    for c, m in zip(codes, made, strict=True):
+        if len(m) == 1:
+            lower[c], plain[c] = ord(m), True
+    plain[0] = True
+    return lower, plain
+
+
+def tables(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, lower case and plainness of all code points under a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(data)
+    split, *more = spec["pre_tokenizer"]["pretokenizers"]
+    fits = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and split["pattern"].get("Regex") == DROPPING and split["behavior"] == "Removed" and split["invert"]
+    if not fits or any(t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError("a tokenizer file with this normalizer or pre-tokenizer is not supported")
+    library = Tokenizer.from_str(data.decode("utf-8"))
+    return kinds(library.pre_tokenizer), *letters(library.normalizer)
+
+
 class WordBpe:
-    """One tokenizer file."""
+    """The merges of one tokenizer file."""
 
     def __init__(self, data: bytes) -> None:
         spec = json.loads(data)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"]
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names: dict[int, str] = {i: s for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
-        self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
+        self.specials = {t["content"].encode("utf-8"): t["id"] for t in spec["added_tokens"]}
+        self.names: dict[int, bytes] = {i: s.encode("utf-8") for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + self.suffix] for s in symbols]
@@ -73,31 +105,10 @@ class WordBpe:
         if max(vocab.values()) >> 17:
             raise ValueError("vocabularies of up to 131,072 ids are supported")
 
-    def pieces(self, text: str) -> list[str]:
-        """Words of a text in order; a special token is a piece of its own, marked by a leading NUL."""
-        if self.special is not None and "<|" in text:
-            out: list[str] = []
-            at = 0
-            for m in self.special.finditer(text):
-                out += self._plain(text[at : m.start()])
-                out.append("\0" + m[0])
-                at = m.end()
-            return out + self._plain(text[at:])
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # Letter by letter: a final sigma is lower-cased like any other.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return [w if w[0] != "\0" else "\0\0" + w for w in self.words.findall(text.lower())]
-
-    def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one piece, by merging."""
-        if word[0] == "\0":
-            if word in self.specials_marked:
-                return (self.specials_marked[word],)
-            word = word[2:]
-        raw = word.encode("utf-8")
+    def merge(self, raw: bytes) -> tuple[int, ...]:
+        """Ids of one piece, by merging; a special token is marked by a leading 0xFF, which no text holds."""
+        if raw[0] == 0xFF:
+            return (self.specials[raw[1:]],)
         ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         if len(ids) > 48:
             return self._merge_long(ids)
@@ -116,17 +127,16 @@ class WordBpe:
                 ranks[i] = get(new << 17 | ids[i + 1], _NEVER)
         return tuple(ids)
 
-    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """``merge`` of many pieces: in each round every word makes its one next merge, all at once."""
         out: list[tuple[int, ...]] = [()] * len(words)
         raw: list[bytes] = []
         which: list[int] = []
         for i, w in enumerate(words):
-            b = w.encode("utf-8")
-            if w[0] == "\0" or len(b) > 48:
+            if w[0] == 0xFF or len(w) > 48:
                 out[i] = self.merge(w)
             else:
-                raw.append(b)
+                raw.append(w)
                 which.append(i)
         if not raw:
             return out
@@ -186,12 +196,6 @@ class WordBpe:
             begin = end
         return out
 
-    @property
-    def specials_marked(self) -> dict[str, int]:
-        if not hasattr(self, "_marked"):
-            self._marked = {"\0" + s: i for s, i in self.specials.items()}
-        return self._marked
-
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same merges in the same order, from a heap."""
         n, get = len(ids), self.merges.get
@@ -212,101 +216,181 @@ class WordBpe:
                     heapq.heappush(heap, (rank, x, ids[x], ids[y]))
         return tuple(i for i in ids if i >= 0)
 
-    def decode(self, ids) -> str:
-        return " ".join(self.names[int(i)] for i in ids)
 
+class Words(Memory):
+    """The pieces of texts under one tokenizer file, as numbers."""
 
-class Encoder:
-    """A tokenizer with its transducer and the words it met lately."""
+    def __init__(self, specials, kind: np.ndarray, lower: np.ndarray, plain: np.ndarray, most: int) -> None:
+        from tokenizers import normalizers
 
-    def __init__(self, bpe: WordBpe, lexicon: Lexicon) -> None:
+        self.special = re.compile(b"|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
+        self.kind, self.lower, self.plain = kind, lower, plain
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        super().__init__(most)
+
+    def reset(self) -> None:
+        super().reset()
+        self.normal: dict[bytes, np.ndarray] = {}
+
+    def pieces(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of texts that lie one after another, and where those of each text end (with a
+        leading 0). Special tokens are pieces too, with a leading 0xFF."""
+        data = flat.tobytes()
+        if self.special is None or self.special.search(data) is None:
+            return self._plain(flat, offsets)
+        parts: list[bytes] = []
+        marks: list[bytes] = []
+        at, rows = [], [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            text, done = data[a:b], 0
+            for m in self.special.finditer(text):
+                parts.append(text[done : m.start()])
+                at.append(len(parts))
+                marks.append(b"\xff" + m[0])
+                done = m.end()
+            parts.append(text[done:])
+            rows.append(len(parts))
+        size = np.array([len(m) for m in marks] + [len(p) for p in parts], np.int64)
+        joined = np.frombuffer(b"".join(parts), np.uint8)
+        numbers, ends = self._plain(joined, np.concatenate(([0], np.cumsum(size[len(marks) :]))))
+        known = self.count
+        own = self.numbers(np.frombuffer(b"".join(marks), np.uint8), np.cumsum(size[: len(marks)]) - size[: len(marks)], size[: len(marks)])
+        if self.count < known:
+            # The memory began anew with the marks; the pieces are met again.
+            numbers, ends = self._plain(joined, np.concatenate(([0], np.cumsum(size[len(marks) :]))))
+            own = self.numbers(np.frombuffer(b"".join(marks), np.uint8), np.cumsum(size[: len(marks)]) - size[: len(marks)], size[: len(marks)])
+        where = np.array(at, np.int64)
+        numbers = np.insert(numbers, ends[where], own)
+        return numbers, ends[rows] + np.searchsorted(where, rows, side="right")
+
+    def _plain(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(flat):
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        if flat.max() < 128:
+            code, rows = self.lower[:128].take(flat), offsets
+        else:
+            raw = code_points(flat.tobytes())
+            rows = np.searchsorted(byte_ends(raw), offsets)
+            code = self.lower.take(raw)
+            hard = np.flatnonzero(~self.plain.take(raw))
+            if len(hard):
+                code, rows = self._normalised(raw, code, rows, hard)
+        kind = self.kind.take(code)
+        begin = np.flatnonzero(starts(code, kind, rows[:-1][np.diff(rows) > 0], False))
+        size = np.diff(begin, append=len(code))
+        solid = kind[begin] != SPACE
+        begin, size = begin[solid], size[solid]
+        row_ends = np.searchsorted(begin, rows)
+        if code.max() < 128:
+            text = code.astype(np.uint8)
+        else:
+            text = np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+            ends = byte_ends(code)
+            begin, size = ends[begin], ends[begin + size] - ends[begin]
+        return self.numbers(text, begin, size), row_ends
+
+    def _normalised(self, raw: np.ndarray, code: np.ndarray, rows: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts with every word between white space that has a hard character as the normalizer makes it."""
+        solid = self.kind.take(raw) != SPACE
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[rows] = True
+        opens, closes = solid.copy(), solid.copy()
+        opens[1:] &= ~solid[:-1] | edge[1:-1]
+        closes[:-1] &= ~solid[1:] | edge[1:-1]
+        begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        which = np.unique(np.searchsorted(begin, hard, side="right") - 1)
+        begin, end = begin[which], end[which]
+        out, done, more = [], 0, np.zeros(len(which) + 1, np.int64)
+        for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+            word = raw[a:b].tobytes()
+            made = self.normal.get(word)
+            if made is None:
+                if len(self.normal) >= self.most:
+                    self.normal.clear()
+                made = self.normal[word] = np.frombuffer(self.normalizer.normalize_str(word.decode("utf-32-le")).encode("utf-32-le"), np.uint32)
+            out += [code[done:a], made]
+            done, more[k + 1] = b, len(made) - (b - a)
+        out.append(code[done:])
+        return np.concatenate(out), rows + np.cumsum(more)[np.searchsorted(end, rows, side="right")]
+
+
+class Encoder(Words):
+    """A tokenizer with its transducer and the pieces it met lately."""
+
+    def __init__(self, bpe: WordBpe, about: tuple, lexicon: Lexicon) -> None:
         self.bpe, self.lexicon = bpe, lexicon
-        self.reset()
+        super().__init__(bpe.specials, *about, REMEMBERED)
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.decoded: list[str] = []
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.index]
-        if not fresh:
-            return
-        found = self.lexicon.look_up([w.encode("utf-8") for w in fresh])
-        unseen = iter(self.bpe.merge_many([w for w, x in zip(fresh, found) if x is None]))
+        super().reset()
+        self.ids, self.decoded = Lists(np.uint32), []
+
+    def learn(self, words: list[bytes]) -> None:
+        found = self.lexicon.look_up(words)
+        unseen = iter(self.bpe.merge_many([w for w, x in zip(words, found) if x is None]))
         new = [x if x is not None else next(unseen) for x in found]
-        self.index.update(zip(fresh, range(len(self.decoded), len(self.decoded) + len(fresh))))
+        self.ids.add(new)
         name = self.bpe.names.__getitem__
-        self.decoded += [" ".join(map(name, x)) for x in new]
-        size = np.array([len(x) for x in new], np.int64)
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.flat = np.concatenate((self.flat, np.array([i for x in new for i in x], np.uint32)))
+        self.decoded += [b" ".join(map(name, x)) for x in new]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    def encode(self, flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
         """For each text, its ids and the places of its words in ``decoded``."""
-        pieces = [self.bpe.pieces(t) for t in texts]
-        words = set().union(*pieces)
-        if len(self.index) + len(words) > REMEMBERED:
-            self.reset()
-        self.learn(words)
-        get = self.index.__getitem__
-        for own in pieces:
-            at = list(map(get, own))
-            w = np.array(at, np.int64)
-            size = self.size[w]
-            total = int(size.sum())
-            where = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[w], size)
-            yield self.flat[where], at
+        numbers, rows = self.pieces(flat, offsets)
+        ids, ends = self.ids.joined(numbers)
+        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
+            yield ids[ends[a] : ends[b]], numbers[a:b].tolist()
 
 
 _LOADED: dict[bytes, Encoder] = {}
 
 
-def _loaded(data: bytes, lexicon: bytes) -> Encoder:
+def _loaded(data: bytes, about: tuple, lexicon: bytes) -> Encoder:
     """The tokenizer in this worker, built once."""
     key = hashlib.sha256(data + b"|" + lexicon).digest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(WordBpe(data), Lexicon(lexicon))
+        _LOADED[key] = Encoder(WordBpe(data), about, Lexicon(lexicon))
     return _LOADED[key]
 
 
-def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts of a batch, about a megabyte at a time."""
-    held, size = [], 0
-    for s in batch["text"].to_pylist():
-        s = s or ""
-        held.append(s)
-        size += len(s)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the all-letter words between white space: each is one piece of the tokenizer."""
-    counts: Counter[str] = Counter()
-
-    def handed() -> pa.RecordBatch:
-        often = {w: n for w, n in counts.items() if n > 1 and w.isalpha()}
-        return pa.record_batch({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
-
-    for batch in batches:
-        for texts in _texts(batch):
-            for t in texts:
-                counts.update(t.lower().split())
-        if len(counts) > COUNTED:
-            yield handed()
-            counts.clear()
-    yield handed()
-
-
-def frequent_words(docs: DataFrame, most: int = LISTED) -> list[str]:
-    """Words of the greatest counts over all documents, at most ``most`` of them."""
-    counts = stored(mapped(docs.select("text"), _counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+class Counter(Words):
+    """Pieces with their counts."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.words: list[bytes] = []
+        self.n = np.zeros(0, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        self.words += words
+        self.n = np.concatenate((self.n, np.zeros(len(words), np.int64)))
+
+
+def _counts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the pieces of a task that occur twice or more before it hands them on."""
+        counts = Counter(*shared.value, 1 << 62)
+
+        def handed() -> pa.RecordBatch:
+            often = [k for k in np.flatnonzero(counts.n > 1).tolist() if counts.words[k][0] != 0xFF]
+            return pa.record_batch({"word": pa.array([counts.words[k] for k in often], pa.binary()), "n": pa.array(counts.n[often])})
+
+        for batch in batches:
+            flat, offsets = text_buffers(batch["text"])
+            for i, j in steps(offsets):
+                numbers, _ = counts.pieces(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                counts.n += np.bincount(numbers, minlength=len(counts.n))
+                if counts.count > COUNTED:
+                    yield handed()
+                    counts.reset()
+        yield handed()
+
+    return run
+
+
+def frequent_words(docs: DataFrame, shared, most: int = LISTED) -> list[bytes]:
+    """Words of the greatest counts over all documents, at most ``most`` of them. shared: a broadcast of the special tokens and ``tables``."""
+    counts = stored(mapped(docs.select("text"), _counts(shared), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n")).cast("int")
     least, room = 64, most
     for step, many in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -317,20 +401,20 @@ def frequent_words(docs: DataFrame, most: int = LISTED) -> list[str]:
     return counts.filter(level >= least).select("word").toArrow()["word"].to_pylist()
 
 
-def compiled(bpe: WordBpe, words: list[str]) -> bytes:
+def compiled(bpe: WordBpe, words: list[bytes]) -> bytes:
     builder = Builder()
-    for raw, w in sorted((w.encode("utf-8"), w) for w in set(words) if w):
-        if len(raw) <= 64:
-            builder.add(raw, bpe.merge(w))
+    for w in sorted(set(words)):
+        if len(w) <= 64:
+            builder.add(w, bpe.merge(w))
     return builder.finish()
 
 
 _OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _encoded(shared, lexicon, outputs: list[str]):
+def _encoded(shared, about, lexicon, outputs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _loaded(shared.value, lexicon.value)
+        encoder = _loaded(shared.value, about.value[1:], lexicon.value)
         try:
             for batch in batches:
                 yield from coded(encoder, batch)
@@ -340,23 +424,22 @@ def _encoded(shared, lexicon, outputs: list[str]):
 
     def coded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        row = 0
-        for texts in _texts(batch):
+        flat, offsets = text_buffers(batch["text"])
+        wanted = any(o.startswith("decoded") for o in outputs)
+        for i, j in steps(offsets):
             got: dict[str, list] = {o: [] for o in outputs}
-            for ids, at in encoder.encode(texts):
-                decoded = " ".join(map(encoder.decoded.__getitem__, at)) if any(o.startswith("decoded") for o in outputs) else ""
+            for ids, at in encoder.encode(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                decoded = b" ".join(map(encoder.decoded.__getitem__, at)) if wanted else b""
                 make = {
                     "n_tokens": lambda: len(ids),
                     "ids": lambda: ids.astype(np.int32),
-                    "decoded": lambda: decoded,
+                    "decoded": lambda: decoded.decode("utf-8"),
                     "ids_sha256": lambda: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
-                    "decoded_sha256": lambda: hashlib.sha256(decoded.encode("utf-8")).hexdigest(),
+                    "decoded_sha256": lambda: hashlib.sha256(decoded).hexdigest(),
                 }
                 for o in outputs:
                     got[o].append(make[o]())
-            part = batch.slice(row, len(texts))
-            row += len(texts)
-            yield pa.record_batch([part["kept"], *(pa.array(v, types.get(o, pa.string())) for o, v in got.items())], ["kept", *outputs])
+            yield pa.record_batch([batch["kept"].slice(i, j - i), *(pa.array(v, types.get(o, pa.string())) for o, v in got.items())], ["kept", *outputs])
 
     return run
 
@@ -366,11 +449,12 @@ def encoded(docs: DataFrame, path: str, keep: list[str], outputs: list[str], lis
     context = docs.sparkSession.sparkContext
     with open(path, "rb") as f:
         data = f.read()
-    shared = context.broadcast(data)
-    lexicon = context.broadcast(compiled(WordBpe(data), frequent_words(docs, listed)))
+    bpe = WordBpe(data)
+    shared, about = context.broadcast(data), context.broadcast((list(bpe.specials), *tables(data)))
+    lexicon = context.broadcast(compiled(bpe, frequent_words(docs, about, listed)))
     keep = [c for c in keep if c not in outputs]
     made = ", ".join(f"{o} {_OUTPUTS[o]}" for o in outputs)
-    return keeping(docs, keep, {"text": F.col("text")}, _encoded(shared, lexicon, outputs), made)
+    return keeping(docs, keep, {"text": F.col("text")}, _encoded(shared, about, lexicon, outputs), made)
 
 
 def with_ids(docs: DataFrame, path: str) -> DataFrame:
