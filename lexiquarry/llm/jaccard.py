@@ -387,7 +387,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast((tokens[order], counts[order]))
     parts = partitions(spark)
     packed = mapped(docs, _prefixes(frequent, parts), "tile int, tokens binary, nodes binary, sizes binary, places binary")
-    shared = stored(mapped(packed.repartition(parts, "tile"), _tiles, "g long, node long, n long, place long, following long"))
+    shared = stored(mapped(packed.repartitionById(parts, "tile"), _tiles, "g long, node long, n long, place long, following long"))
     nodes = stored(rows.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     beside = cut(shared.filter(F.col("following").isNotNull()).select(F.least("node", "following").alias("a"), F.greatest("node", "following").alias("b")).distinct())

@@ -16,9 +16,11 @@ strings are only ever in contexts of one hash.
    induced sorting, and permuted common prefixes; suffixes in a row that share 100 bytes
    are one string, and all its places but the first go.
 
-A least hash found in over ``FREQUENT`` of all documents (and ``MANY`` times) would gather in one shard. Its
-strings are dealt singly instead, by 128-bit hashes, after each batch has kept its own first of each.
-There are at most (mean contexts of a document) / FREQUENT such hashes.
+A least hash counted more often than ``FREQUENT`` times the number of documents (and ``MANY`` times) would gather in one
+shard. Its strings are dealt singly instead, by 128-bit hashes, after each batch has kept its own first of each.
+There are at most (mean contexts of a document) / FREQUENT such hashes. Occurrences count where a task holds three or more at once, so
+all of a hash that is in over one of a thousand documents, but few of one in a tenth of that; counting says only which way a
+hash goes, the result is the same.
 
 Defined cases: null texts are empty; texts under 100 bytes lose nothing unless covered, which they cannot be;
 rows that share a doc_id (or have none) are told apart by a number given in order of doc_id (nulls first) and
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import longs, mapped, mixed, partitions, steps, stored, table, text_buffers
-from .shingles import powers
+from .shingles import block_hashes, powers
 from .suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 100
@@ -87,7 +89,7 @@ def contexts(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     begin, end = turns[:-1], turns[1:]
     keep = valid[begin]
     begin, end = begin[keep], end[keep]
-    content = mixed((sums[end - 1 + length] - sums[begin]) * inv[begin] + (end - begin).astype(np.uint64))
+    content = block_hashes(flat, begin, end - begin + length - 1)
     row = np.searchsorted(offsets, begin, side="right") - 1
     value, many = least[begin], end - begin
     # A context can hold equal strings itself only if its least hash occurs twice close together.
@@ -202,8 +204,10 @@ def merged(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
         return doc, at, n
     order = np.lexsort((at, doc))
     doc, at, n = doc[order], at[order].astype(np.int64), n[order].astype(np.int64)
-    # Documents one after another on a line, far enough apart.
-    line = np.concatenate(([0], np.cumsum(doc[1:] != doc[:-1]))) << 40
+    # Documents one after another on a line, each as long as its last run reaches.
+    turn = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    room = np.maximum.reduceat(at + n, turn) + 1
+    line = np.repeat(np.cumsum(room) - room, np.diff(np.append(turn, len(doc))))
     reach = np.maximum.accumulate(line + at + n)
     fresh = np.concatenate(([True], line[1:] + at[1:] > reach[:-1]))
     first = np.flatnonzero(fresh)
@@ -365,13 +369,13 @@ def repeated(docs: DataFrame, as_text: bool = False) -> DataFrame:
     total = texts.count()
     late = counts.filter(F.col("n") >= max(FREQUENT * total, MANY)).select("h").toArrow()["h"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
-    dealt = mapped(plain, _dealt(frequent, parts), _PACKED).repartition(parts, "part")
+    dealt = mapped(plain, _dealt(frequent, parts), _PACKED).repartitionById(parts, "part")
     resolved = stored(mapped(dealt, _resolved, _PLACES))
 
     texts = texts.repartition(parts, "_row")
     asked = resolved.filter("part >= 0").groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("part", "key", "at", "n")).alias("asked"))
     bodies = mapped(texts.join(asked, "_row").select(F.col("_row").alias("doc_id"), "text", "asked"), _bodies, "part int, key long, doc_id long, at int, body binary")
-    more = mapped(bodies.repartition(parts, "part"), _compared, _PLACES)
+    more = mapped(bodies.repartitionById(parts, "part"), _compared, _PLACES)
     gone = resolved.filter("part < 0").union(more).groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("at", "n")).alias("gone"))
     joined = texts.join(gone, "_row", "left").select("doc_id", "_row", "text", F.coalesce("gone", F.array().cast("array<struct<at:int,n:int>>")).alias("gone"))
     return mapped(joined, _kept(as_text), f"doc_id long, _row long, n_bytes long, spans array<struct<at:long,n:long>>, kept {'string' if as_text else 'binary'}")
