@@ -3,7 +3,7 @@
 Vectors are grouped by length: a bin holds lengths within a few percent, and a bin
 with many rows is split by a hash of the row, so that no bucket outgrows
 ``BUCKET_ROWS`` much, however many rows share one length. Queries come in blocks.
-A first pass over one long-vector bucket gives every query a score that its k-th
+A first pass over the longest ``SEED_ROWS`` vectors or more (a slice of a bin with many) gives every query a score that its k-th
 best cannot be below. With it, a (query, bucket) pair is skipped outright where
 ``|q| * longest < threshold``; what is left is joined block by bucket, and inside a
 bucket each query picks the cheaper of two prunings from its local cosine threshold:
@@ -12,7 +12,8 @@ bucket each query picks the cheaper of two prunings from its local cosine thresh
 * coordinate: a unit vector within that angle of the query has its focus
   coordinates inside a narrow interval, looked up in a sorted coordinate list.
 
-Survivors are verified by exact integer products, so the result is exact.
+Survivors are verified by exact integer products, so the result is exact. Components saturate at 2^62 and scores at the
+bounds of a long. A bucket is sent once for each block of queries that has one to ask it, and to no other.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows
 with a null id, take no part; vectors of another dimension than the query's are
@@ -40,6 +41,8 @@ SCALE = 256
 EVERY = 50
 BUCKET_ROWS = 8192
 BLOCK_QUERIES = 2048
+#: Rows of the first pass, unless there are fewer; at most BUCKET_ROWS or so more.
+SEED_ROWS = 4096
 #: Focus coordinates that a query may prune by.
 FOCUS = 4
 _SATURATED = float(1 << 62)
@@ -171,16 +174,22 @@ def exact_topk(vectors: DataFrame, k: int = K, is_query: Column | None = None, i
         """Query rows for each bucket they have to look at."""
         return pairs.withColumn("split", F.explode(F.sequence(F.lit(0), F.element_at(splits, F.col("bin")).cast("int") - 1)))
 
+    # The longest bins, until there are rows enough; each in slices of about BUCKET_ROWS, of which one will do.
+    seeds: list[int] = []
+    while len(seeds) < len(bins) and sum(min(b["n"], BUCKET_ROWS) for b in bins[len(bins) - len(seeds) :]) < SEED_ROWS:
+        seeds.append(bins[len(bins) - 1 - len(seeds)]["bin"])
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
-    seed = bins[-1]["bin"]
-    seeds = rows.filter((F.col("bin") == seed) & (F.col("split") == 0)).select("*", blocks)
-    first = _searched(asked.withColumns({"least": F.lit(float("-inf")), "bin": F.lit(seed), "split": F.lit(0)}), seeds, k)
+    longest = rows.filter(F.col("bin").isin(seeds) & (F.col("split") == 0)).withColumn("bin", F.lit(seeds[0])).select("*", blocks)
+    first = _searched(asked.withColumns({"least": F.lit(float("-inf")), "bin": F.lit(seeds[0]), "split": F.lit(0)}), longest, k)
     least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
     least = least.select("query_id", F.when(F.col("n") >= k, F.col("low").cast("double")).otherwise(float("-inf")).alias("least"))
     asked = asked.join(least, "query_id", "left").fillna({"least": float("-inf")})
     by_bin = F.explode(F.array(*[F.struct(F.lit(b["bin"]).alias("bin"), F.lit(b["longest"]).alias("longest")) for b in bins]))
     pairs = asked.select("*", by_bin.alias("b")).select("*", "b.*").filter(F.col("norm") * F.col("longest") * (1 + 1e-9) >= F.col("least"))
-    found = _searched(dealt(pairs.drop("b", "longest")), rows.select("*", blocks), k)
+    asking = dealt(pairs.drop("b", "longest"))
+    # One row for each block that asks a bucket; both sides of the join are spread by bucket, of bounded size.
+    keys = dealt(pairs.select("block", "bin").distinct()).toDF("block", "bin", "split")
+    found = _searched(asking, rows.join(keys, ["bin", "split"]), k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
