@@ -4,13 +4,14 @@ A text becomes its letters (lower-cased) with one space for everything between t
 the character 1- to 3-grams, hashed to 2^16 coordinates, weighted by share in the text times inverse document
 frequency. Document frequencies come from all documents that may be learned from.
 The regression is trained by FTRL with an elastic-net penalty (l1 and l2) on a bounded sample:
-about ``PER_LANGUAGE`` texts of each language, picked by a hash, as a whole and as a short cut.
+about ``PER_LANGUAGE`` texts and ``SAMPLE_BYTES`` bytes of each language on average, of texts of up to ``ONE_BYTES``, picked by a hash, as a whole and as a short cut.
 A temperature, fitted on a fifth of the sample that is kept aside, calibrates the probabilities.
 
 The features of a text are linear in its n-grams, so scoring adds one row of weights for each n-gram.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 1; without any
-labelled text everything is ``und``, and ``kept`` keeps what has a letter; documents with a null lang or null doc_id are not learned from; null
+labelled text everything is ``und``, and ``kept`` keeps what has a letter; else ``kept`` rejects what is ``und`` and texts whose language
+scores under ``LEAST_SCORE``, that is where all other languages together are likelier; weights take 2^18 bytes a language; documents with a null lang or null doc_id are not learned from; null
 doc_ids are not held out; equal texts get equal results; texts are read whole; columns besides those
 named are not looked at (``rejected`` and ``kept`` keep them).
 """
@@ -24,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, keeping, mapped, table
+from .common import crc_fold, give_back, keeping, mapped, table
 from .ftrl import Ftrl
 
 BITS = 16
 ORDERS = 3
 PER_LANGUAGE = 1500
 EPOCHS = 3
+#: Bytes of a language's sample, on average, and of one text in it.
+SAMPLE_BYTES, ONE_BYTES = 16 << 20, 1 << 18
+#: The calibrated probability that a kept document's language has at least.
+LEAST_SCORE = 0.5
 SCALE = 30.0
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -148,14 +153,12 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray) -> tuple[list[str],
     return names, (model.weights() * idf[:, None] * SCALE).astype(np.float32), bias.weights(), temperature
 
 
-def crc_fold(key: Column, folds: int) -> Column:
-    return F.crc32(key.cast("string")) % folds
-
-
 def learn(docs: DataFrame) -> tuple | None:
     """The model from the documents that are not held out; None without labelled text."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    size = F.octet_length("text")
+    small = size <= ONE_BYTES
+    counts = known.groupBy("lang").agg(F.count(F.when(small, 1)).alias("n"), F.sum(F.when(small, size)).alias("bytes")).collect()
     if not counts:
         return None
     df = mapped(known.select("text"), _frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
@@ -164,8 +167,8 @@ def learn(docs: DataFrame) -> tuple | None:
     idf = np.full(1 << BITS, np.log(1 + total))
     idf[at[at >= 0]] = np.log((1 + total) / (1 + n[at >= 0])) + 0.1
     place = (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, PER_LANGUAGE / v)])
-    sample = known.filter(place < F.element_at(share, F.col("lang"))).select("text", "lang").toArrow()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(PER_LANGUAGE / max(r["n"], 1), SAMPLE_BYTES / max(r["bytes"] or 0, 1)))])
+    sample = known.filter(small & (place < F.element_at(share, F.col("lang")))).select("text", "lang").toArrow()
     if not sample.num_rows:
         return None
     model = fit(sample["text"].to_pylist(), sample["lang"].to_pylist(), idf)
@@ -210,11 +213,11 @@ def predicted(docs: DataFrame, model: tuple | None, keep: list[str]) -> DataFram
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with their own columns alone."""
+    """The documents whose language the model tells with a score of LEAST_SCORE or more, with their own columns alone."""
     rows = docs.select(F.struct("*").alias("own"), "text")
     model = learn(docs)
     # With nothing to learn from, only texts without a letter go.
-    known = keeping(rows, ["own"], {"text": F.col("text")}, _lettered, "some boolean").filter("some") if model is None else predicted(rows, model, ["own"]).filter(F.col("lang_pred") != UNKNOWN)
+    known = keeping(rows, ["own"], {"text": F.col("text")}, _lettered, "some boolean").filter("some") if model is None else predicted(rows, model, ["own"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return known.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
