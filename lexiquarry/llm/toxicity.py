@@ -5,14 +5,13 @@ between, hashed to 2^22 coordinates. Words are runs of ASCII letters and digits
 of bytes above 127. L1 leaves few weights other than zero; those alone are broadcast,
 and they are at most the coordinates of the training sample.
 
-Training takes about ``POSITIVES`` toxic and ``NEGATIVES`` other texts, picked by a hash of their ids
-among all labelled rows with ``crc32(doc_id) mod 4 != 2``; the intercept is corrected to the share of
+Training takes about ``POSITIVES`` toxic and ``NEGATIVES`` other texts, and ``SAMPLE_BYTES`` bytes of each kind on average, picked by a
+hash of their ids among all labelled rows with ``crc32(doc_id) mod 4 != 2`` whose text has up to ``ONE_BYTES``; the intercept is corrected to the share of
 toxic rows among all of those. Scoring reads the whole text of every document and nothing else.
 
 Defined cases: texts without words (null, empty, blank) score by the intercept alone; labels that are null
 or neither 0 nor 1 are not learned from; labels of unknown documents are unused; a document with several labels
-is learned with each; without any labels of both kinds every score is the share of toxic labels, or 0
-without labels; equal texts get equal scores; null doc_ids count as held out of learning (``held_out`` is false
+is learned with each; without any labels of both kinds every score is the logistic of 30 (only toxic labels) or of -30 (any other case), 1e-13 from 1 or 0; equal texts get equal scores; null doc_ids count as held out of learning (``held_out`` is false
 for them); columns besides those named are not looked at.
 """
 
@@ -26,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, mapped, mixed, steps, table, text_buffers
+from .common import crc_fold, give_back, mapped, mixed, steps, table, text_buffers
 from .ftrl import Ftrl
 from .shingles import word_hashes
 
 BITS = 22
 POSITIVES, NEGATIVES = 6_000, 12_000
 EPOCHS = 8
+#: Bytes of the sample of each kind, on average, and of one text in it.
+SAMPLE_BYTES, ONE_BYTES = 32 << 20, 1 << 18
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -90,10 +91,6 @@ def fit(vectors: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[np.
     return at, w[at].astype(np.float32), float(bias.weights()[0]) + logit(share) - logit(own)
 
 
-def crc_fold(key: Column, folds: int) -> Column:
-    return F.crc32(key.cast("string")) % folds
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and intercept from the labelled rows that are not held out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("_id"), "toxic")
@@ -101,11 +98,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if not counts.get(0) or not counts.get(1):
         share = 1.0 if counts.get(1) else 0.0
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if share else -30.0
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
+    sizes = known.join(docs.select("doc_id", bytes_.alias("size")), F.col("doc_id") == F.col("_id")).filter(F.col("size") <= ONE_BYTES)
+    size = {r["toxic"]: (r["n"], r["size"]) for r in sizes.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
+    rate = [min(most / max(n, 1), SAMPLE_BYTES / max(b, 1)) for most, (n, b) in ((NEGATIVES, size.get(0, (0, 0))), (POSITIVES, size.get(1, (0, 0))))]
     place = (F.xxhash64(F.col("_id")).cast("double") / 2.0**64) + 0.5
-    rate = F.when(F.col("toxic") == 1, POSITIVES / counts[1]).otherwise(NEGATIVES / counts[0])
-    picked = known.filter(place < rate)
-    # Both sides are bounded by the sample; ids are joined, texts stay where they are read.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    picked = known.filter(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+    # Ids of the sample, a bounded number on average, are joined; texts stay where they are read.
+    rows = docs.filter(bytes_ <= ONE_BYTES).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     sample = mapped(rows.select("toxic", "text"), _vectors, "toxic int, x binary").toArrow()
     vectors = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["x"]]
     toxic = sample["toxic"].to_numpy().astype(np.float64)
