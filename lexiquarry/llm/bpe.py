@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import keeping, mapped, steps, stored, table, text_buffers
 from .lexicon import Builder, Lexicon
-from .pieces import DROPPING, SPACE, Lists, Memory, byte_ends, code_points, kinds, starts
+from .pieces import DROPPING, SPACE, Lists, Memory, byte_ends, byte_symbols, code_points, kinds, starts
 
 #: Words in the transducer at most; those of the greatest counts, by powers of two.
 LISTED = 1 << 16
@@ -39,13 +39,6 @@ COUNTED = 1 << 18
 REMEMBERED = 1 << 18
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
-
-
 _NEVER = 1 << 30
 
 

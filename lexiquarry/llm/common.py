@@ -3,6 +3,7 @@ scratch folder, and Arrow batches seen as flat numpy arrays."""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -28,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session, or, only where that is unset (tests), a folder of our own."""
+    session, or, only where that is unset and all runs in one process (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lexiquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -38,11 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of this application in the shared folder for intermediate tables. It goes when the driver ends with its context
+    alive; what a crash leaves behind is named after the application."""
+    path = f"{shared_dir(spark)}/lexiquarry-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_removed, spark, path)
+    return path
+
+
+_SCRATCH: set[str] = set()
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._gateway is None:
+        return
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: later stages neither
     recompute them nor depend on the executors that made them."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -108,6 +132,11 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
     return stored(held.withColumn("_row", F.monotonically_increasing_id())), False
 
 
+def crc_fold(key: Column, folds: int) -> Column:
+    """The fold of a key: the crc32 of its text modulo their number."""
+    return F.crc32(key.cast("string")) % folds
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of parts that packed rows are dealt to: the session's own sizing."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

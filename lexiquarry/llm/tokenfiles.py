@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, shared_dir, steps, table, text_buffers
-from .pieces import Lists, Memory, byte_ends, code_points, kinds, starts
+from .common import mapped, partitions, scratch, steps, table, text_buffers
+from .pieces import Lists, Memory, byte_ends, byte_symbols, code_points, kinds, starts
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
@@ -44,13 +44,6 @@ REMEMBERED = 1 << 20
 TOGETHER = 32
 
 
-def byte_symbols() -> dict[str, int]:
-    """The byte behind each printable character of byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = sorted(set(range(256)) - set(plain))
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def _pair(merge) -> list[str]:
     return merge.split(" ") if isinstance(merge, str) else merge
 
@@ -63,7 +56,7 @@ class ByteBpe(Memory):
 
         self.library, self.kind = Tokenizer.from_str(data.decode("utf-8")), kind
         self.specials = [t["content"].encode("utf-8") for t in json.loads(data)["added_tokens"]]
-        symbol = byte_symbols()
+        symbol = {c: b for b, c in enumerate(byte_symbols())}
         self.symbols = {b: ord(c) for c, b in symbol.items()}
         # A byte that is in no UTF-8 text and in no merge keeps pieces apart that are encoded in one call.
         model = json.loads(data)["model"]
@@ -218,7 +211,7 @@ def tokenizer_path() -> str:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_path())
     rows = mapped(read_tokens(spark, path, columns=["row", "doc_id", "ids"]), _checksums, "row long, doc_id long, n_tokens long, ids_crc32 long")
     return places(rows, read_tokens(spark, path, columns=["row", "n_tokens"])).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -214,7 +214,7 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_language_odd_rows(spark):
+def test_language_odd_rows(spark, monkeypatch):
     schema = "doc_id long, lang string, text string"
     train = [(i, "aa" if i % 2 else "bb", ("la mo ki " if i % 2 else "xu zre wop ") * 5) for i in range(200)]
     odd = [(900, None, None), (901, "aa", "123 !"), (902, None, "la mo ki"), (None, "bb", "xu zre wop"), (903, "aa", ""), (904, None, "mo" * 60_000)]
@@ -223,6 +223,14 @@ def test_language_odd_rows(spark):
     assert (got[900], got[901], got[902], got[None], got[903], got[904]) == ("und", "und", "aa", "bb", "und", "aa")
     kept = language.kept(frame)
     assert kept.columns == frame.columns and kept.count() == 203
+    # The stage goes by the model's score.
+    scores = {r.doc_id: r.score for r in language.predicted(frame, language.learn(frame), ["doc_id"]).collect() if r.lang_pred != "und"}
+    least = sorted(set(scores.values()))[len(set(scores.values())) // 2]
+    monkeypatch.setattr(language, "LEAST_SCORE", least)
+    assert {r.doc_id for r in language.kept(frame).collect()} == {i for i, x in scores.items() if x >= least}
+    monkeypatch.setattr(language, "LEAST_SCORE", 1.01)
+    assert language.kept(frame).count() == 0
+    monkeypatch.undo()
     none = spark.createDataFrame([(1, None, "some text")], schema)
     assert language.predicted(none, language.learn(none), ["doc_id"]).first().lang_pred == "und"
     assert language.kept(spark.createDataFrame([], schema)).count() == 0
@@ -240,7 +248,7 @@ def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = toxicity.op8_toxicity(spark, folder).join(labels, "doc_id").filter("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in rows)
-    assert hit / sum(r.predicted for r in rows) > 0.9 and hit / sum(r.toxic for r in rows) > 0.7
+    assert hit / sum(r.predicted for r in rows) > 0.9 and hit / sum(r.toxic for r in rows) > 0.8
 
 
 def test_toxicity_odd_rows(spark):
