@@ -7,10 +7,15 @@ are forgotten on the way. A second pass aligns every page with its host's templa
 nearly all pages of the host have at a node are template, the slots whose text varies are content. Inside the page's articles (its main elements where
 those hold more text, the whole page where it has neither) content is what is left after template nodes and the
 elements that never belong to an article: navigation, headers and footers of the page, asides, forms, scripts,
-styles, adverts, notices and comments, told by tag, role, class or id.
+styles, adverts, notices and comments, told by tag, role, class or id. A class or id counts by its head: its last word that says
+more than a shape (``related-posts`` is related, ``related-work`` is not), and none with a word like *with* or *by* counts (``with-sidebar``,
+``side-by-side``). Where a page has neither article nor main, a form, or what only its name tells against, stays if it holds over half of the page's text outside links.
 
 Counting covers all pages, and is aggregated per task before the shuffle: one row for each distinct tree
-of a host and task, however many pages the host has. Templates are broadcast when they are at most
+of a host and task, however many pages the host has. Equal trees of all tasks are added up, and distinct ones are merged in slices of
+about ``SLICE`` by their hash, round after round, each in order of pages and hash: what is merged with what follows from the pages alone. A merged
+template of over ``NODES`` nodes forgets those on under ``RARE`` of its pages. Only which texts may be template comes from these
+counts, which forget rare texts; how many pages have them is then counted again, exactly, on pages aligned with the template. Templates are broadcast when they are at most
 ``SMALL_BYTES`` in all, else joined.
 
 Defined cases: null or empty html has the empty text; a page whose host is unknown, or one of fewer than
@@ -24,11 +29,11 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,8 @@ TEMPLATE_SHARE = 0.8
 LEAST_PAGES = 5
 #: Texts counted at a node before those on under RARE of its pages are forgotten; counts are short by RARE at most.
 COUNTED, RARE = 256, 0.05
+#: Trees that one task merges, and nodes of a merged one.
+SLICE, NODES = 64, 20_000
 SMALL_BYTES = 8 << 20
 #: Levels of a tree. Of elements below, only those that decide what is content are levels of their own, MORE at most.
 DEEP, MORE = 200, 8
@@ -61,7 +68,10 @@ WORDS = frozenset(
     "commentlist reply replies respond disqus discussion toolbar pagination pager widget widgets skip".split()
 )
 
-COMMENT = frozenset("comment comments reply replies".split())
+COMMENT = frozenset("comment comments commentlist disqus discussion reply replies respond".split())
+#: Words of a class that say nothing but shape, place or that there are several; and those that make a name one about something else.
+SHAPE = frozenset("area article articles bar block bottom box button buttons col column container group heading holder inline inner item items label left link links list module outer panel post posts right row section slot stories story title top unit wrap wrapper".split())
+ABOUT = frozenset("by has no not with without".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -69,10 +79,12 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "children", "parent", "slot", "depth", "holds")
+    __slots__ = ("tag", "marks", "told", "role", "children", "parent", "slot", "depth", "holds", "bulk")
 
-    def __init__(self, tag: str, marks: tuple, role: str, parent: Node | None) -> None:
-        self.tag, self.marks, self.role, self.parent = tag, marks, role, parent
+    def __init__(self, tag: str, marks: tuple, told: frozenset, role: str, parent: Node | None) -> None:
+        self.tag, self.marks, self.told, self.role, self.parent = tag, marks, told, role, parent
+        #: Whether this holds over half of the text of a page that has neither article nor main.
+        self.bulk = False
         self.children: list = []
         self.slot = -1
         self.depth = parent.depth + 1 if parent is not None else 0
@@ -85,23 +97,48 @@ class Node:
 
 
 @lru_cache(4096)
-def _attributes(text: str) -> tuple[tuple, str]:
-    """Words of class and id, and the role."""
+def _attributes(text: str) -> tuple[tuple, frozenset, str]:
+    """Words of class and id, those of WORDS that they come down to, and the role."""
     marks: list[str] = []
+    told = set()
     role = ""
     for name, a, b, c in _MARK.findall(text):
         value = (a or b or c).lower()
         if name.lower() == "role":
             role = value.strip()
         elif name.lower() != "hidden":
-            marks += [w for w in _SPLIT.split(value) if w]
-    return tuple(marks), role
+            for own in value.split():
+                words = [w for w in _SPLIT.split(own) if w]
+                marks += words
+                head = next((w for w in reversed(words) if w in WORDS or w not in SHAPE), "")
+                if head in WORDS and not ABOUT.intersection(words):
+                    told.add(head)
+    return tuple(marks), frozenset(told), role
+
+
+def _weighed(root: Node) -> None:
+    """Mark the nodes that hold over half of a page's text outside links."""
+    order, size = [root], {}
+    for node in order:
+        order += [c for c in node.children if not isinstance(c, str) and c.tag not in RAW and c.tag != "a"]
+    for node in reversed(order):
+        size[node] = sum(len(c.strip()) if isinstance(c, str) else size.get(c, 0) for c in node.children)
+    for node in order:
+        node.bulk = node is not root and 2 * size[node] > size[root]
 
 
 def parse(text: str) -> Node:
-    """The tree of a page; never fails. Text below ``DEEP`` levels stands in the element above, in its place and as
+    """The tree of a page; never fails."""
+    root = _parsed(text)
+    if not root.holds:
+        _weighed(root)
+    return root
+
+
+def _parsed(text: str) -> Node:
+    """The tree of a page. Text below ``DEEP`` levels stands in the element above, in its place and as
     blocks of its own."""
-    root = Node("#root", (), "", None)
+    root = Node("#root", (), frozenset(), "", None)
     # Elements that are open in a node without being levels.
     hidden: dict[Node, list[str]] = {}
     here, at = root, 0
@@ -148,7 +185,7 @@ def parse(text: str) -> Node:
             if up.tag in same:
                 here = up.parent
         attrs = m[3]
-        node = Node(tag, *(_attributes(attrs) if attrs.strip() else ((), "")), here)
+        node = Node(tag, *(_attributes(attrs) if attrs.strip() else ((), frozenset(), "")), here)
         if node.depth > DEEP and tag not in RAW and tag not in VOID and not attrs.endswith("/") and not _decides(node):
             hidden.setdefault(here, []).append(tag)
             _stand_in(tag, here)
@@ -171,7 +208,7 @@ def parse(text: str) -> Node:
 def _stand_in(tag: str, here: Node) -> None:
     """The break in the text that an element makes which is no level."""
     if tag in BLOCK or tag in SPACED:
-        here.children.append(Node("hr" if tag in BLOCK else "br", (), "", here))
+        here.children.append(Node("hr" if tag in BLOCK else "br", (), frozenset(), "", here))
 
 
 def _decides(node: Node) -> bool:
@@ -198,11 +235,14 @@ def boilerplate(node: Node) -> bool:
     """Whether an element is never part of an article. One that holds the article is not, whatever it is called."""
     if node.holds:
         return False
+    comment = not COMMENT.isdisjoint(node.told)
+    if node.bulk and not comment and (node.tag == "form" or node.tag not in NEVER):
+        return False
     if node.tag in NEVER or node.role in ROLES:
         return True
     if node.tag in ("html", "body", "article", "main", "h1"):
-        return node.tag == "article" and any(w in COMMENT for w in node.marks)
-    hit = {w for w in node.marks if w in WORDS}
+        return node.tag == "article" and comment
+    hit = set(node.told)
     if node.tag == "header":
         hit.add("header")
     # An article has headers of its own.
@@ -215,7 +255,7 @@ def _plain(parts: list[str]) -> str:
 
 
 def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def skeleton(root: Node) -> tuple[tuple, list[set[int]]]:
@@ -265,27 +305,42 @@ def skeleton(root: Node) -> tuple[tuple, list[set[int]]]:
     return top[:2], hashes
 
 
-def matching(a: tuple | list, b: tuple | list, kids, label) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the size of the best match of two trees, and the pairs of children in it."""
+def matching(a: tuple | list, b: tuple | list, kids, label, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the size of the best match of two trees, and the pairs of children in it. known
+    remembers the matches of parts, for as long as the trees live."""
     if label(a) != label(b):
         return 0, []
     x, y = kids(a), kids(b)
+    if not x or not y:
+        return 1, []
+    known = {} if known is None else known
+    key = (id(a), id(b))
+    if key in known:
+        return known[key]
     score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    inner = [[matching(p, q, kids, label)[0] for q in y] for p in x]
+    of_label: dict[str, list[int]] = {}
+    for j, q in enumerate(y):
+        of_label.setdefault(label(q), []).append(j)
+    inner = [{j: matching(p, y[j], kids, label, known)[0] for j in of_label.get(label(p), ())} for p in x]
     for i in range(1, len(x) + 1):
+        above, row, same = score[i - 1], score[i], inner[i - 1]
         for j in range(1, len(y) + 1):
-            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + inner[i - 1][j - 1])
+            best = above[j] if above[j] > row[j - 1] else row[j - 1]
+            if j - 1 in same and above[j - 1] + same[j - 1] > best:
+                best = above[j - 1] + same[j - 1]
+            row[j] = best
     pairs = []
     i, j = len(x), len(y)
     while i and j:
-        if inner[i - 1][j - 1] and score[i][j] == score[i - 1][j - 1] + inner[i - 1][j - 1]:
+        if j - 1 in inner[i - 1] and score[i][j] == score[i - 1][j - 1] + inner[i - 1][j - 1]:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
         elif score[i][j] == score[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return score[len(x)][len(y)] + 1, pairs[::-1]
+    known[key] = score[len(x)][len(y)] + 1, pairs[::-1]
+    return known[key]
 
 
 _LABEL = lambda t: t[0]
@@ -307,36 +362,81 @@ def as_template(tree: tuple, pages: int, counts: list[dict]) -> list:
     return node(tree)
 
 
-def merge(a: list, b: list) -> list:
+def merge(a: list, b: list, known: dict | None = None) -> list:
     """One template of two of the same root label: matched nodes add up, others stand side by side."""
-    _, pairs = matching(a, b, _KIDS, _LABEL)
+    known = {} if known is None else known
+    _, pairs = matching(a, b, _KIDS, _LABEL, known)
     out, i, j = [], 0, 0
     for p, q in [*pairs, (len(a[3]), len(b[3]))]:
         out += a[3][i:p] + b[3][j:q]
         if p < len(a[3]) and q < len(b[3]):
-            out.append(merge(a[3][p], b[3][q]))
+            out.append(merge(a[3][p], b[3][q], known))
         i, j = p + 1, q + 1
-    counts = {h: a[2].get(h, 0) + b[2].get(h, 0) for h in sorted({*a[2], *b[2]})}
-    return [a[0], a[1] + b[1], pruned(counts, a[1] + b[1]), out]
+    return [a[0], a[1] + b[1], pruned(added(a[2], b[2]), a[1] + b[1]), out]
+
+
+def added(a: dict, b: dict) -> dict:
+    return {h: a.get(h, 0) + b.get(h, 0) for h in sorted({*a, *b})}
+
+
+def plus(a: list, b: list) -> list:
+    """Two templates of the same shape, added up."""
+    return [a[0], a[1] + b[1], pruned(added(a[2], b[2]), a[1] + b[1]), [plus(x, y) for x, y in zip(a[3], b[3])]]
+
+
+def thinned(t: list) -> list:
+    """The template without nodes on few of its pages, if it has very many."""
+
+    def count(n: list) -> int:
+        return 1 + sum(map(count, n[3]))
+
+    def keep(n: list) -> list:
+        return [n[0], n[1], n[2], [keep(c) for c in n[3] if c[1] >= RARE * t[1]]]
+
+    return keep(t) if count(t) > NODES else t
+
+
+def shape_of(t: list | tuple) -> tuple:
+    return (t[0], tuple(shape_of(c) for c in t[-1]))
+
+
+@lru_cache(512)
+def _loaded(template: str) -> tuple[list, list[dict]]:
+    """A template from its JSON, and the texts at each of its nodes in preorder, whose numbers the nodes get."""
+    texts: list[dict] = []
+
+    def numbered(t: list) -> list:
+        node = [t[0], len(texts), t[3]]
+        texts.append({int(h): n for h, n in t[2].items()})
+        node[2] = [numbered(c) for c in t[3]]
+        return node
+
+    return numbered(json.loads(template)), texts
 
 
 @lru_cache(2048)
-def _constant(template: str, tree: tuple) -> tuple[frozenset, ...]:
-    """For each place of a page tree, the hashes of the texts that are template there."""
-    t = json.loads(template)
-    pages = t[1]
-    out: list[frozenset] = []
+def _aligned(template: str, tree: tuple) -> tuple[int, ...]:
+    """For each place of a page tree the number of its node in the template, or -1."""
+    out: list[int] = []
+    known: dict = {}
 
     def walk(node: tuple, own: list | None) -> None:
-        out.append(frozenset(int(h) for h, n in own[2].items() if n >= max(LEAST_PAGES, TEMPLATE_SHARE * pages)) if own is not None else frozenset())
-        partner = dict((q, p) for p, q in matching(own, node, _KIDS, _LABEL)[1]) if own is not None else {}
+        out.append(-1 if own is None else own[1])
+        partner = {q: p for p, q in matching(own, node, _KIDS, _LABEL, known)[1]} if own is not None else {}
         for k, c in enumerate(node[1]):
-            walk(c, own[3][partner[k]] if k in partner else None)
+            walk(c, own[2][partner[k]] if k in partner else None)
 
-    walk(tree, t)
+    walk(tree, _loaded(template)[0])
     return tuple(out)
 
 
+@lru_cache(2048)
+def _constant(template: str, tree: tuple) -> tuple[frozenset, ...]:
+    """For each place of a page tree, the hashes of the texts that are template there."""
+    fixed = _loaded(template)[1]
+    return tuple(frozenset(fixed[k]) if k >= 0 else frozenset() for k in _aligned(template, tree))
+
+
 def _texts(node: Node, template: tuple[frozenset, ...] | None, drop) -> list[tuple[str, int, bool]]:
     """(text, characters of links, is template) of each block below a node, in page order."""
     out: list[tuple[str, int, bool]] = []
@@ -412,14 +512,33 @@ def main_text(html: str | None, template: str | None = None) -> str:
     return "\n\n".join(content or [t for t, _, _ in blocks])
 
 
+_TREES = "host string, shape string, n long, tree string"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    host, shape, n, tree = zip(*rows) if rows else ((), (), (), ())
+    return pa.record_batch({"host": pa.array(host, pa.string()), "shape": pa.array(shape, pa.string()), "n": pa.array(n, pa.int64()), "tree": pa.array(tree, pa.string())})
+
+
+def _packed(t: list) -> str:
+    return json.dumps(t, separators=(",", ":"))
+
+
+def _digest(t: list) -> str:
+    return xxhash.xxh3_128_hexdigest(json.dumps(shape_of(t), separators=(",", ":")))
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct trees of a host and task: how many pages, and the texts at each place with their pages."""
     held: dict[tuple, list] = {}
 
     def handed() -> pa.RecordBatch:
-        rows = [(host, json.dumps(as_template(tree, n, counts), separators=(",", ":"))) for (host, tree), (n, counts) in held.items()]
+        rows = []
+        for (host, tree), (n, counts) in held.items():
+            t = as_template(tree, n, counts)
+            rows.append((host, _digest(t), n, _packed(t)))
         held.clear()
-        return pa.record_batch({"host": pa.array([r[0] for r in rows], pa.string()), "tree": pa.array([r[1] for r in rows], pa.string())})
+        return _rows(rows)
 
     for batch in batches:
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
@@ -441,12 +560,64 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield handed()
 
 
+def _summed(rows):
+    """Trees of one host and shape as one."""
+    first, *more = sorted(rows["tree"].to_pylist())
+    total = json.loads(first)
+    for t in more:
+        total = plus(total, json.loads(t))
+    return pa.Table.from_batches([_rows([(rows["host"][0].as_py(), rows["shape"][0].as_py(), total[1], _packed(total))])])
+
+
 def _merged(rows):
-    trees = rows["tree"].to_pylist()
-    template = json.loads(trees[0])
-    for t in sorted(trees[1:]):
-        template = merge(template, json.loads(t))
-    return pa.table({"host": rows["host"].slice(0, 1), "template": pa.array([json.dumps(template, separators=(",", ":"))], pa.string())})
+    """Trees of one host as one template, those of the most pages first."""
+    trees = sorted(zip((-n for n in rows["n"].to_pylist()), rows["shape"].to_pylist(), rows["tree"].to_pylist()))
+    template = json.loads(trees[0][2])
+    for _, _, t in trees[1:]:
+        template = thinned(merge(template, json.loads(t)))
+    return pa.Table.from_batches([_rows([(rows["host"][0].as_py(), _digest(template), template[1], _packed(template))])])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pages of a task have each candidate text of their template at its node."""
+    met: dict[tuple, int] = {}
+
+    def handed() -> pa.RecordBatch:
+        rows = [(*k, n) for k, n in met.items()]
+        met.clear()
+        host, node, text, n = zip(*rows) if rows else ((), (), (), ())
+        return pa.record_batch({"host": pa.array(host, pa.string()), "node": pa.array(node, pa.int32()), "h": pa.array(text, pa.string()), "n": pa.array(n, pa.int64())})
+
+    for batch in batches:
+        for host, page, template in zip(*(batch[c].to_pylist() for c in ("host", "html", "template"))):
+            if not page:
+                continue
+            tree, hashes = skeleton(parse(page))
+            texts = _loaded(template)[1]
+            for node, own in zip(_aligned(template, tree), hashes):
+                for h in own & texts[node].keys() if node >= 0 else ():
+                    met[host, node, str(h)] = met.get((host, node, str(h)), 0) + 1
+        if len(met) >= HELD:
+            yield handed()
+    yield handed()
+
+
+def _fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Templates with the texts of their found nodes alone."""
+    for batch in batches:
+        out = []
+        for template, found in zip(batch["template"].to_pylist(), batch["found"].to_pylist()):
+            texts: dict[int, dict] = {}
+            for f in found or ():
+                texts.setdefault(f["node"], {})[f["h"]] = f["n"]
+            at = iter(range(1 << 62))
+
+            def node(t: list) -> list:
+                k = next(at)
+                return [t[0], t[1], texts.get(k, {}), [node(c) for c in t[3]]]
+
+            out.append(_packed(node(json.loads(template))))
+        yield pa.record_batch([batch["host"], pa.array(out, pa.string())], ["host", "template"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,18 +626,55 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["kept"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["kept", "text", "n_chars"])
 
 
+def _candidates(template: str) -> str:
+    """The template with the texts alone that at least half of its pages may have: counts fall short by RARE a step."""
+
+    def node(t: list, pages: int) -> list:
+        return [t[0], t[1], {h: n for h, n in t[2].items() if 2 * n >= pages}, [node(c, pages) for c in t[3]]]
+
+    t = json.loads(template)
+    return _packed(node(t, t[1]))
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch["host"], batch["n"], pa.array([_candidates(t) for t in batch["tree"].to_pylist()], pa.string())], ["host", "n", "template"])
+
+
+def _folded(trees: DataFrame, keys: list[str], by: str, run) -> DataFrame:
+    """The trees of equal keys as one, in rounds: no task takes many more than SLICE of them at a time."""
+    while True:
+        n = trees.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+        most = n.agg(F.max("_n")).first()[0] or 0
+        if most <= 1:
+            return trees
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        slices = trees.join(n, same).withColumn("slice", F.pmod(F.xxhash64(by), F.ceil(F.col("_n") / SLICE)))
+        trees = stored(slices.select("host", "shape", "n", "tree", "slice").groupBy(*keys, "slice").applyInArrow(run, _TREES))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host and template of every host of at least LEAST_PAGES pages. pages: host and html."""
-    trees = stored(mapped(pages.select("host", "html"), _trees, "host string, tree string"))
-    # The first number in a tree is its count of pages.
-    n = F.regexp_extract("tree", r"^\[\"#root\",(\d+)", 1).cast("long")
-    many = trees.groupBy(F.col("host").alias("h")).agg(F.sum(n).alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    trees = trees.join(many, F.col("host") == F.col("h")).select("host", "tree")
-    # Two steps: trees are merged in slices first, so that no task merges all of a host with many of them.
-    slices = trees.withColumn("slice", F.pmod(F.xxhash64("tree"), F.lit(16)))
+    trees = stored(mapped(pages.select("host", "html"), _trees, _TREES))
+    many = trees.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    trees = stored(trees.join(many, F.col("host") == F.col("h")).select("host", "shape", "n", "tree"))
     ship(pages.sparkSession)
-    part = slices.groupBy("host", "slice").applyInArrow(_merged, "host string, template string")
-    return part.withColumnRenamed("template", "tree").groupBy("host").applyInArrow(_merged, "host string, template string")
+    trees = _folded(_folded(trees, ["host", "shape"], "tree", _summed), ["host"], "shape", _merged)
+    likely = stored(mapped(trees.select("host", "n", "tree"), _likely, "host string, n long, template string"))
+    rows = with_templates(pages.select("host", "html"), likely.select("host", "template")).filter(F.col("template").isNotNull())
+    found = mapped(rows.select("host", "html", "template"), _met, "host string, node int, h string, n long").groupBy("host", "node", "h").agg(F.sum("n").alias("n"))
+    own = likely.select(F.col("host").alias("k"), F.col("n").alias("pages"))
+    found = found.join(own, F.col("host") == F.col("k")).filter(F.col("n") >= F.greatest(F.lit(float(LEAST_PAGES)), TEMPLATE_SHARE * F.col("pages")))
+    found = found.groupBy(F.col("host").alias("k")).agg(F.collect_list(F.struct("node", "h", "n")).alias("found"))
+    fixed = likely.join(found, F.col("host") == F.col("k"), "left").select("host", "template", "found")
+    return mapped(fixed, _fixed, "host string, template string")
+
+
+def with_templates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with the templates of their hosts, null where there is none. known: host and template, as a table."""
+    known = known.select(F.col("host").alias("_known"), "template")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("_known")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(known) if size <= SMALL_BYTES else known, F.col("host") == F.col("_known"), "left").drop("_known")
 
 
 def host_of(url):
@@ -478,10 +686,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     keep = keep if keep is not None else [c for c in pages.columns if c not in (html, "text", "n_chars")]
     held = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     rows = pages.select(held.alias("own"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    known = stored(templates(rows.select("host", "html"))).withColumnRenamed("host", "known")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("known")), F.lit(0))).first()[0]
-    known = F.broadcast(known) if size <= SMALL_BYTES else known
-    rows = rows.join(known, F.col("host") == F.col("known"), "left")
+    rows = with_templates(rows, stored(templates(rows.select("host", "html"))))
     out = keeping(rows, ["own"], {"html": F.col("html"), "template": F.col("template")}, _extracted, "text string, n_chars long")
     return out.select(*[F.col("own").getField(c).alias(c) for c in keep], "text", "n_chars")
 

@@ -178,6 +178,58 @@ def test_main_text_keeps_all_regions():
     assert wrappers.main_text("<main>Hi</main><article>All of the story</article>") == "All of the story"
 
 
+def test_names_of_elements():
+    """What a name tells against goes; what only resembles such a name stays."""
+    keep = ["related-work", "side-by-side", "with-sidebar", "adder", "noticeable", "address-header-less"]
+    drop = ["related-posts", "ad", "ad-slot-2", "share-buttons", "site cookie-notice", "newsletter-signup", "sidebar left", "comment-list"]
+    page = lambda name: f'<article><h1>T</h1><p>one</p><div class="{name}">inside</div><p>two</p></article>'
+    for name in keep:
+        assert wrappers.main_text(page(name)) == "T\n\none\n\ninside\n\ntwo", name
+    for name in drop:
+        assert wrappers.main_text(page(name)) == "T\n\none\n\ntwo", name
+
+
+def test_pages_within_a_form_or_a_named_element():
+    body = "<h1>T</h1><p>" + "All of the story. " * 20 + "</p>"
+    for opening in ('<form id="aspnetForm">', '<div class="main-menu-page">', '<div class="sidebar">', '<div role="form">'):
+        close = f"</{opening[1:5].strip('> ')}>".replace("</div ", "</div")
+        text = wrappers.main_text(f'<body><nav><a href="/">Home</a></nav>{opening}{body}{close}<div class="comments"><p>I agree</p></div><form>Go</form></body>')
+        assert text == "T\n\n" + ("All of the story. " * 20).strip(), opening
+    assert wrappers.main_text('<h1>T</h1><p>Short.</p><div class="comments">' + "<p>I agree with all of it</p>" * 9 + "</div>") == "T\n\nShort."
+
+
+def test_templates_do_not_depend_on_the_order(spark):
+    rng = random.Random(2)
+    host = "http://o/"
+
+    def page(k):
+        blocks = [f"<div class=x{j}><p>Line {j}</p><p>Own {k} {j}</p></div>" for j in range(7) if rng.random() < 0.8]
+        return "<div class=top>Site</div>" + "".join(blocks) + "<div class=end><p>Bye</p></div>"
+
+    rows = [(k, f"{host}{k}", page(k)) for k in range(160)]
+    seen = set()
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        seen.add(frozenset((r.page_id, r.text) for r in wrappers.extracted(frame).collect()))
+    assert len(seen) == 1
+    texts = dict(next(iter(seen)))
+    html = {k: h for k, _, h in rows}
+    for k, t in texts.items():
+        # All that is of this page alone, and nothing of the template.
+        want = [f"Own {k} {j}" for j in range(7) if f"Own {k} {j}<" in html[k]]
+        assert [x for x in t.split("\n\n") if x.startswith("Own")] == want and not {"Site", "Bye"} & set(t.split("\n\n"))
+
+
+def test_a_page_of_many_blocks_is_quick():
+    import time
+
+    began = time.process_time()
+    tree, hashes = wrappers.skeleton(wrappers.parse("".join(f"<div class=a{k}><p>x{k}</p></div>" for k in range(1600))))
+    t = wrappers.as_template(tree, 9, [{} for _ in hashes])
+    assert wrappers.merge(t, wrappers.as_template(tree, 3, [{} for _ in hashes]))[1] == 12 and time.process_time() - began < 4
+
+
 def test_a_host_of_near_copies_keeps_its_text(spark):
     body = [f"Paragraph {i} of the one article of this host" for i in range(6)]
     near = lambda k: [f"Title {k}", *(f"Changed {k}" if k % 2 and i == k % 6 else p for i, p in enumerate(body)), "Read more"]
