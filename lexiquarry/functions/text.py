@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 RAW_ELEMENTS = r"(?is)<(?:script|style)(?:[^>]*[^/>])?>.*?</(?:script|style)[^>]*>"
 TAG = r"(?s)<[^>]*>"
-REFERENCE = r"""(?i)\s(?:href|src)\s*=\s*"([^"]*)\""""
+#: Attributes that hold one reference, those that hold a list of them, and references of styles; values may be quoted either way or bare.
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+REFERENCE = r"(?i)\s(?:href|src|poster|data|background)\s*=\s*" + VALUE
+SOURCES = r"(?i)\ssrcset\s*=\s*" + VALUE
+STYLE_URL = r"""(?i)\burl\(\s*("[^"]*"|'[^']*'|[^\s"')]*)\s*\)"""
 
 #: Asset extensions and their media types.
 MIME = {
@@ -19,7 +23,9 @@ MIME = {
     "bmp": "image/bmp", "svg": "image/svg+xml", "webp": "image/webp", "ico": "image/x-icon", "tif": "image/tiff", "tiff": "image/tiff", "mp3": "audio/mpeg", "ogg": "audio/ogg", "wav": "audio/wav", "spx": "audio/ogg",
     "opus": "audio/ogg", "flac": "audio/flac", "m4a": "audio/mp4", "mp4": "video/mp4", "webm": "video/webm", "ogv": "video/ogg", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2", "pdf": "application/pdf",
 }
-JUNK = r"(?i)(^|/)(\.ds_store|thumbs\.db|desktop\.ini|__macosx|\.git|\.svn|\._[^/]*|\.spotlight-v100|\.trashes)(/|$)"
+#: Names that operating systems write on their own.
+JUNK_NAMES = [".ds_store", "__macosx", ".spotlight-v100", ".documentrevisions-v100", ".temporaryitems", ".trashes", ".fseventsd", ".apdisk", ".volumeicon.icns", "thumbs.db", "ehthumbs.db", "desktop.ini"]
+JUNK = r"(?i)(?:^|[/\\])\s*(?:\._[^/\\]*|" + "|".join(n.replace(".", r"\.") for n in JUNK_NAMES) + r")\s*(?:[/\\]|$)"
 
 
 def unescape(c: Column) -> Column:
@@ -49,29 +55,45 @@ def body_of(text: Column, kind: Column) -> Column:
     return F.when(kind == "html", text).when(kind == "text", F.concat(F.lit("<p>"), F.replace(escape_text(text), F.lit("\n"), F.lit("<br/>")), F.lit("</p>")))
 
 
+def _bare(c: Column) -> Column:
+    """A value without its quotes."""
+    return F.regexp_replace(c, "^[\"']|[\"']$", "")
+
+
 def references(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))
+    """References of attributes, then of source sets, then of styles, each in document order."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1)), _bare)
+    lists = F.transform(F.regexp_extract_all(c, F.lit(SOURCES), F.lit(1)), lambda v: F.split(F.trim(_bare(v)), r"\s*,\s+"))
+    sets = F.transform(F.flatten(lists), lambda v: F.regexp_extract(v, r"^\S*", 0))
+    styles = F.transform(F.regexp_extract_all(c, F.lit(STYLE_URL), F.lit(1)), _bare)
+    return F.concat(found, F.filter(F.concat(sets, styles), lambda v: v != ""))
 
 
 def is_relative_asset(ref: Column) -> Column:
-    return (ref != "") & ~ref.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|#|\?|//|/)") & ~ref.contains("..")
+    return (ref != "") & ~ref.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|#|\?|//)") & ~ref.contains("..")
+
+
+LINK = r"""(?i)(\s(?:href|src)\s*=\s*["']?)"""
 
 
 def canonical_links(c: Column) -> Column:
-    """Lookup links in one spelling: entry:// for words, entry:@ for sub-entries."""
-    return F.regexp_replace(F.regexp_replace(c, r'(?i)href="bword://?', 'href="entry://'), r'href="@', 'href="entry:@')
+    """Lookup links in one spelling: entry:// for words, whichever scheme names them, and entry:@ for sub-entries."""
+    return F.regexp_replace(F.regexp_replace(c, LINK + "bword:(?://)?", "$1entry://"), LINK + "entry://@", "$1entry:@")
 
 
 def encode_target(c: Column) -> Column:
-    out = reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), [("%", "%25"), ("#", "%23"), ("\n", "%0A"), ("\r", "%0D"), ("\t", "%09"), ("\x7f", "%7F")], c)
+    """A headword as it stands behind entry://: percent, number sign, controls and a leading @ are percent-encoded."""
+    codes = ["%", "#", *map(chr, range(32)), "\x7f"]
+    out = reduce(lambda a, x: F.replace(a, F.lit(x), F.lit(f"%{ord(x):02X}")), codes, c)
     return F.regexp_replace(out, "^@", "%40")
 
 
 def resource_key(c: Column) -> Column:
-    """One spelling of a resource name: forward slashes, no empty or dot segments, lower case."""
-    path = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"/+", "/")
-    path = F.regexp_replace(F.regexp_replace(path, r"(^|/)(\./)+", "$1"), r"^/+", "")
-    return F.lower(path)
+    """One spelling of a resource name: forward slashes, no empty, dot or climbing segments, lower case. Names whose
+    letters may be spelled in parts go through ``operators.articles.composed`` first."""
+    parts = F.filter(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", "."))
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+    return F.lower(F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
 def extension(c: Column) -> Column:
@@ -112,8 +134,10 @@ def is_junk(c: Column) -> Column:
 
 
 def user_title(c: Column) -> Column:
-    clean = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0e-\x1f\x7f]", ""), r"\s+", " "))
-    return F.nullif(F.substring(clean, 1, 200), F.lit(""))
+    """A title that a user gave: white space as single spaces, no controls, at most 200 characters; null where nothing is left."""
+    spaced = F.regexp_replace(c, r"[\p{Z}\t-\r\x{85}]+", " ")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[\x00-\x1f\x7f-\x{9f}]", ""), " +", " "))
+    return F.nullif(F.trim(F.substring(clean, 1, 200)), F.lit(""))
 
 
 def flag(c: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -214,17 +215,42 @@ class Marker:
         return 0
 
 
-_REF = re.compile(r"""(\s(?:href|src)\s*=\s*)(?:"([^"]*)"|'([^']*)')""", re.I)
+_REF = re.compile(r"""(\s(?:href|src|poster|data|background)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_SET = re.compile(r"""(\ssrcset\s*=\s*)(?:"([^"]*)"|'([^']*)')""", re.I)
+_URL = re.compile(r"""(\burl\()\s*(?:"([^"]*)"|'([^']*)'|([^\s"')]*))\s*(?=\))""", re.I)
+_ELSEWHERE = re.compile(r"(?:[a-z][a-z0-9+.-]*:|#|/|\?)", re.I)
 
 
 def rewrite_references(document: str, dict_id: str) -> str:
-    """Relative resources under the dictionary's path; already rewritten ones stay; base elements go."""
+    """Relative resources under the dictionary's path, in attributes, source sets and styles; already rewritten ones and
+    those that climb out of their folder stay; base elements go."""
 
-    def change(m: re.Match) -> str:
-        ref = m[2] if m[2] is not None else m[3]
-        own = re.sub(r"^(?:sound|file):/*", "", ref, flags=re.I)
-        if not own or re.match(r"(?:[a-z][a-z0-9+.-]*:|#|/|\?)", own, re.I):
-            return m[0]
-        return f'{m[1]}"/res/{dict_id}/{own.lstrip("./")}"'
+    def placed(ref: str) -> str:
+        own = re.sub(r"^(?:sound|file):/*", "", ref.strip(), flags=re.I)
+        if not own or _ELSEWHERE.match(own) or ".." in own.split("/"):
+            return ref
+        return f"/res/{dict_id}/{re.sub(r'^(?:[.]/+)+', '', own)}"
 
-    return _REF.sub(change, re.sub(r"(?i)<base\b[^>]*>", "", document))
+    def value(m: re.Match) -> str:
+        return next(g for g in m.groups()[1:] if g is not None)
+
+    def one(m: re.Match) -> str:
+        new = placed(value(m))
+        return m[0] if new == value(m) else f'{m[1]}"{new}"'
+
+    def many(m: re.Match) -> str:
+        own = re.split(r"(\s*,\s+)", value(m))
+        own[::2] = [re.sub(r"^\S+", lambda x: placed(x[0]), v) for v in own[::2]]
+        return f'{m[1]}"{"".join(own)}"'
+
+    def style(m: re.Match) -> str:
+        new = placed(value(m))
+        return m[0] if new == value(m) else f"{m[1]}{new}"
+
+    document = _SET.sub(many, _REF.sub(one, re.sub(r"(?i)<base\b[^>]*>", "", document)))
+    return _URL.sub(style, document)
+
+
+def composed(name: str) -> str:
+    """A name with its letters in one piece each."""
+    return name if name.isascii() else unicodedata.normalize("NFC", name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,20 +41,34 @@ def prefix_or_folded(entries: DataFrame, word: str, n: int) -> DataFrame:
 
 
 def _cut(frame: DataFrame) -> DataFrame:
-    """The rows without their lineage: in ``spark.checkpoint.dir``, or on the executors where that is unset."""
+    """The rows without their lineage, in ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), in a folder of our own."""
     spark = frame.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not found:
-            return frame.localCheckpoint()
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            found = tempfile.mkdtemp(prefix="lexiquarry-")
         spark.sparkContext.setCheckpointDir(found)
     return frame.checkpoint()
 
 
+def named(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The links, each target in the spelling of the entry or link that it means: the same, else the least that is the same but for case."""
+    names = entries.select("dict_id", "w").union(links.select("dict_id", "w")).distinct()
+    same = names.select(F.col("dict_id").alias("_d"), F.col("w").alias("_w"))
+    loose = names.groupBy(F.col("dict_id").alias("_e"), fo.lower1("w").alias("_l")).agg(F.min("w").alias("_near"))
+    rows = links.join(same, (F.col("dict_id") == F.col("_d")) & (F.col("target") == F.col("_w")), "left")
+    rows = rows.join(loose, (F.col("dict_id") == F.col("_e")) & F.col("_w").isNull() & (fo.lower1("target") == F.col("_l")), "left")
+    return rows.select("dict_id", "w", F.coalesce("_w", "_near", "target").alias("target"))
+
+
 def follow(entries: DataFrame, links: DataFrame) -> DataFrame:
     """Every word with the entries that its chain of redirects ends at; homographs fan out, circles end in nothing (id null).
 
-    links: dict_id, w, target. Chains of any length are followed, a step a round, until no word reaches a new target."""
+    links: dict_id, w, target. A target without an entry or link of its spelling is looked up without case. Chains of any length are
+    followed, a step a round, until no word reaches a new target."""
+    links = _cut(named(entries, links))
     step = links.select(F.col("dict_id").alias("_d"), F.col("w").alias("_w"), F.col("target").alias("_t"))
     parts = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     new = reached = _cut(links.select("dict_id", "w", F.col("target").alias("at")).filter(F.col("at").isNotNull()).distinct())

@@ -17,10 +17,11 @@ HISTORY_MOST, FAVOURITES_MOST, WORD_MOST = 500, 10_000, 256
 def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, aliases and redirects of raw records (dict_id, seq, headwords, body, kind, link_to).
 
-    Headwords are trimmed and empty ones dropped; a record without any is left out. Ids follow reader order
+    Headwords are trimmed and empty ones dropped; a record whose first is empty is left out. Ids follow reader order
     inside a dictionary; aliases differ from their headword."""
     words = F.filter(F.transform("headwords", lambda w: F.trim(w)), lambda w: w != "")
-    rows = raw.withColumn("words", words).filter(F.size("words") > 0)
+    first = F.trim(F.get("headwords", F.lit(0)))
+    rows = raw.filter(first != "").withColumn("words", words)
     links = rows.filter(F.coalesce("link_to", F.lit("")) != "").select("dict_id", "seq", F.element_at("words", 1).alias("w"), F.trim("link_to").alias("target"))
     kept = numbered(rows.filter(F.coalesce("link_to", F.lit("")) == ""), "dict_id", F.floor(F.col("seq") / STRETCH), ["seq"], "pos").withColumn("id", F.col("pos") + 1)
     entries = kept.select("dict_id", "id", F.element_at("words", 1).alias("w"), tx.body_of(F.col("body"), F.col("kind")).alias("body"))
@@ -94,7 +95,7 @@ def relink(lost: DataFrame, found: DataFrame) -> DataFrame:
 
 def history(log: DataFrame, most: int = HISTORY_MOST) -> DataFrame:
     """Looked-up words, newest first: each once but for case, in its last spelling, the newest ``most``."""
-    rows = log.withColumn("word", F.trim("word")).filter((F.col("word") != "") & (F.char_length("word") <= WORD_MOST))
+    rows = log.withColumn("word", F.trim(F.regexp_replace("word", r"[\n\r\t]", " "))).filter((F.col("word") != "") & (F.char_length("word") <= WORD_MOST))
     own = Window.partitionBy(fo.lower1("word")).orderBy(F.desc("ts"), F.desc("seq"))
     last = rows.withColumn("_k", F.row_number().over(own)).filter("_k = 1")
     top = last.orderBy(F.desc("ts"), F.desc("seq")).limit(most)

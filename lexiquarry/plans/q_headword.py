@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import fold as fo
+from lexiquarry.functions.numbering import numbered
 from lexiquarry.operators import browse, headword
 from lexiquarry.operators.pattern import Pattern
 from lexiquarry.operators.suggest import suggested
@@ -55,8 +56,8 @@ def h9_hits_with_headword(spark, d):
 
 def h10_collation_order(spark, d):
     rows = views.keyed(views.table(spark, d, "documents", "lang", "text").select(F.col("lang").alias("dict_id"), F.explode(F.regexp_extract_all("text", F.lit(views.WORD), F.lit(0))).alias("w")).distinct())
-    w = Window.partitionBy("dict_id", F.substring("fold_w", 1, 2)).orderBy("fold_w", "lower_w", "cap_w", "w")
-    return rows.select("dict_id", "w", F.row_number().over(w).alias("place"))
+    placed = numbered(rows, "dict_id", F.substring("fold_w", 1, 2), ["fold_w", "lower_w", "cap_w", "w"], "pos")
+    return placed.select("dict_id", "w", (F.col("pos") + 1).alias("place"))
 
 
 def h13_keywords(spark, d):
@@ -239,8 +240,8 @@ ORACLE_SQL = {
     "h2_prefix_topn": _searches(PREFIXES, _prefix_sql),
     "h3_wildcard": _searches(WILDCARDS, lambda q: headword.search_sql(Pattern.wildcard(q), N, False, None)),
     "h4_prefix_keys": f"{_WITH} SELECT dict_id, rank, key FROM ({_prefix_sql('en', 50)})",
-    "h9_hits_with_headword": f"{_WITH} SELECT h.*, e.w AS headword FROM ({_prefix_sql('Th')}) h LEFT JOIN entry e ON e.dict_id = h.dict_id AND e.id = h.id",
-    "h10_collation_order": f"WITH {views.HEAD_SQL}, tk AS ({views.keyed_sql('token')}) SELECT dict_id, w, row_number() OVER (PARTITION BY dict_id, substr(fold_w, 1, 2) ORDER BY fold_w, lower_w, cap_w, w)::INTEGER AS place FROM tk",
+    "h9_hits_with_headword": f"{_WITH} SELECT h.*, e.w AS headword FROM ({_prefix_sql('Th')}) h LEFT JOIN ek e ON e.dict_id = h.dict_id AND e.id = h.id",
+    "h10_collation_order": f"WITH {views.HEAD_SQL}, tk AS ({views.keyed_sql('token')}) SELECT dict_id, w, row_number() OVER (PARTITION BY dict_id ORDER BY fold_w, lower_w, cap_w, w) AS place FROM tk",
     "h13_keywords": f"WITH {views.HEAD_SQL} SELECT dict_id, pos, id, w FROM (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY id) - 1 AS pos, id, w FROM entry WHERE NOT w LIKE '@_%') WHERE pos >= 100 AND pos < 150",
     "h14_has": f"{_WITH} SELECT DISTINCT k.dict_id, b.word FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{views.WORD}')) AS word FROM benchmark) b JOIN (SELECT dict_id, fold_w FROM ek WHERE NOT w LIKE '@_%' UNION SELECT dict_id, fold_w FROM ak) k ON k.fold_w = {fo.translate_sql('b.word', 'fold')}",
     "s2_entry_aliases": f"WITH {views.HEAD_SQL} SELECT e.dict_id, e.id, e.w, coalesce(a.aliases, '') AS aliases FROM entry e LEFT JOIN (SELECT dict_id, entry_id, string_agg(w, '|' ORDER BY row) AS aliases FROM alias GROUP BY ALL) a ON a.dict_id = e.dict_id AND a.entry_id = e.id",

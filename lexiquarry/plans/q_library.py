@@ -45,32 +45,37 @@ def t12_rewrite(spark, d):
     return articles.mapped_column(_pages(spark, d).select("page_id", "html"), "html", "rewritten", lambda h: articles.rewrite_references(h, "pages")).select("page_id", "rewritten")
 
 
+#: Markup with references of every spelling, added to each page.
+MEDIA = """<img src='a b.png' srcset="s.png 1x, dir/l.png 2x"><a href=bare.html>x</a><p style="background: url( 'p.gif' )"><video poster="v.jpg"><style>i{background:url(q.png)}</style>"""
+
+
 def t10_refs(spark, d):
-    return _pages(spark, d).select("page_id", F.posexplode(tx.references(F.col("html"))).alias("k", "ref"))
+    return _pages(spark, d).select("page_id", F.posexplode(tx.references(F.concat("html", F.lit(MEDIA)))).alias("k", "ref"))
 
 
 def t11_assets(spark, d):
     """References to relative assets, by host: distinct names and how often they are used."""
     refs = _pages(spark, d).select(F.parse_url("url", F.lit("HOST")).alias("host"), F.explode(tx.references(F.col("html"))).alias("ref"))
-    bare = refs.select("host", F.regexp_replace("ref", "^/", "").alias("ref"))
-    return bare.filter(tx.is_relative_asset(F.col("ref"))).groupBy("host", "ref").agg(F.count(F.lit(1)).alias("uses"))
+    return refs.filter(tx.is_relative_asset(F.col("ref"))).groupBy("host", "ref").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def t13_canon_links(spark, d):
-    linked = F.replace(F.col("html"), F.lit('href="/'), F.lit('href="bword://'))
+    to = F.element_at(F.array(*[F.lit(x) for x in ('href="bword:', "href='BWORD://", 'href="bword:@', "href = entry://@")]), (F.col("page_id") % 4 + 1).cast("int"))
+    linked = F.replace(F.col("html"), F.lit('href="/'), to)
     return _pages(spark, d).select("page_id", F.md5(tx.canonical_links(linked)).alias("digest"))
 
 
 def t14_targets(spark, d):
     t = views.table(spark, d, "part", "p_partkey", "p_name", "p_type")
-    return t.select("p_partkey", tx.encode_target(F.concat(F.lit("@"), "p_name", F.lit("#50%"))).alias("target"), tx.escape_attr(F.concat(F.lit('<"'), "p_type", F.lit('">&'))).alias("attr"))
+    control = F.element_at(F.array(*[F.lit(chr(i)) for i in range(1, 32)]), (F.col("p_partkey") % 31 + 1).cast("int"))
+    return t.select("p_partkey", tx.encode_target(F.concat(F.lit("@"), "p_name", control, F.lit("#50%@\x7f"))).alias("target"), tx.escape_attr(F.concat(F.lit('<"'), "p_type", F.lit('">&'))).alias("attr"))
 
 
 def _resources(spark, d):
     """Part types as file names of a media pack: folders, case, junk."""
     t = views.table(spark, d, "part", "p_partkey", "p_brand", "p_name", "p_type", "p_size")
     ext = F.element_at(F.array(*[F.lit(x) for x in ("png", "MP3", "css", "spx", "zip")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    name = F.concat(F.when(F.col("p_size") % 3 == 0, "img\\").when(F.col("p_size") % 7 == 0, "__MACOSX/").otherwise("./a//"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), ext)
+    name = F.concat(F.when(F.col("p_size") % 3 == 0, "img\\").when(F.col("p_size") % 7 == 0, "__MACOSX/").when(F.col("p_size") % 5 == 0, "../up/../a/").otherwise("./a//"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), ext)
     return t.select(F.col("p_brand").alias("dict_id"), F.col("p_partkey").alias("seq"), name.alias("name"))
 
 
@@ -160,13 +165,13 @@ def m4_relink(spark, d):
 
 def m9_history(spark, d):
     ev = views.table(spark, d, "events", "event_id", "ts", "event_type", "user_id")
-    log = ev.select(F.col("event_id").alias("seq"), "ts", F.concat(F.when(F.col("user_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.lit(" "), (F.col("user_id") % 900).cast("string")).alias("word"))
+    log = ev.select(F.col("event_id").alias("seq"), "ts", F.concat(F.when(F.col("user_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.when(F.col("event_id") % 2 == 0, "\t").otherwise(" "), (F.col("user_id") % 900).cast("string"), F.lit("\n")).alias("word"))
     return library.history(log)
 
 
 def r11_user_title(spark, d):
     c = views.table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
-    raw = F.when(F.col("c_custkey") % 9 == 0, " \t ").otherwise(F.concat(F.lit("  "), "c_name", F.lit("\t\t"), "c_mktsegment", F.lit("\u0007 ")))
+    raw = F.when(F.col("c_custkey") % 9 == 0, " \t ").otherwise(F.concat(F.lit("  "), "c_name", F.lit("\t\t"), "c_mktsegment", F.lit("\u0007\u0091\u2003\u0085x ")))
     return c.select("c_custkey", tx.user_title(raw).alias("title"), tx.flag(F.when(F.col("c_custkey") % 3 == 0, "off").when(F.col("c_custkey") % 3 == 1, "Yes")).alias("flag"))
 
 
@@ -231,8 +236,8 @@ def _unescape_sql(e: str) -> str:
     return e
 
 
-_RES = """res AS (SELECT p_brand AS dict_id, p_partkey AS seq, (CASE WHEN p_size % 3 = 0 THEN 'img\\' WHEN p_size % 7 = 0 THEN '__MACOSX/' ELSE './a//' END) || replace(p_name, ' ', '_') || '.' || ['png', 'MP3', 'css', 'spx', 'zip'][p_partkey % 5 + 1] AS name FROM part),
-rk AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(replace(name, '\\', '/'), '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '^/+', '')) AS k, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM res)"""
+_RES = """res AS (SELECT p_brand AS dict_id, p_partkey AS seq, (CASE WHEN p_size % 3 = 0 THEN 'img\\' WHEN p_size % 7 = 0 THEN '__MACOSX/' WHEN p_size % 5 = 0 THEN '../up/../a/' ELSE './a//' END) || replace(p_name, ' ', '_') || '.' || ['png', 'MP3', 'css', 'spx', 'zip'][p_partkey % 5 + 1] AS name FROM part),
+rk AS (SELECT *, lower(array_to_string(list_filter(string_split(replace(replace(name, '\\', '/'), 'up/../', ''), '/'), lambda x: x NOT IN ('', '.', '..')), '/')) AS k, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM res)"""
 _MIME = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.MIME.items()) + " ELSE 'application/octet-stream' END"
 _JUNK = "regexp_matches(name, " + fo.quoted(tx.JUNK) + ")"
 _RAW_SQL = f"""n AS (SELECT n_nationkey::BIGINT AS seq, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS id FROM nation),
@@ -245,16 +250,19 @@ _KNOWN_SQL = """known AS (SELECT c_custkey AS dict_id, '/lib/' || c_mktsegment |
 found AS (SELECT dict_id AS fid, path, name, size, dict_id % 2 + 1 AS mtime, CASE WHEN dict_id % 4 = 1 THEN 'x' ELSE digest END AS digest FROM known WHERE dict_id % 3 <> 0),
 moved AS (SELECT '/new' || path AS path, name, size, digest FROM known WHERE dict_id % 6 = 0),
 lost AS (SELECT * FROM known WHERE NOT kept AND path NOT IN (SELECT path FROM found))"""
+_BARE = lambda pattern: f"list_transform(regexp_extract_all(html, {fo.quoted(pattern)}, 1), lambda x: regexp_replace(x, '^[\"'']|[\"'']$', '', 'g'))"
+_REFS = f"list_concat({_BARE(tx.REFERENCE)}, list_filter(list_concat(list_transform(flatten(list_transform({_BARE(tx.SOURCES)}, lambda x: regexp_split_to_array(trim(x), '\\s*,\\s+'))), lambda x: regexp_extract(x, '^\\S*')), {_BARE(tx.STYLE_URL)}), lambda x: x <> ''))"
+_WITH_MEDIA = f"SELECT page_id, html || {fo.quoted(MEDIA)} AS html FROM pages"
 _VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else fo.quoted(v) for v in r) + ")" for r in rows)
 
 ORACLE_SQL = {
     "f14_strip_html": f"SELECT page_id, trim(regexp_replace({_unescape_sql(chr(39).join(['regexp_replace(regexp_replace(html, ', tx.RAW_ELEMENTS, ', ', '', ', ', 'g', '), ', tx.TAG, ', ', ' ', ', ', 'g', ')']))}, '\\s+', ' ', 'g')) AS txt FROM pages",
     "t5_fold": f"WITH {views.HEAD_SQL} SELECT DISTINCT w, {fo.translate_sql('w', 'fold')} AS folded, {fo.translate_sql('w', 'lower')} AS lowered, {fo.translate_sql('w', 'latin')} AS latin FROM token",
     "t6_display_text": f"SELECT page_id, {_unescape_sql(_unescape_sql(chr(39).join(['regexp_extract(html, ', '(?s)<title>(.*?)</title>', ', 1)'])))} AS title FROM pages",
-    "t10_refs": "SELECT page_id, generate_subscripts(r, 1) - 1 AS k, unnest(r) AS ref FROM (SELECT page_id, regexp_extract_all(html, '" + tx.REFERENCE + "', 1) AS r FROM pages)",
-    "t11_assets": "WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_replace(unnest(regexp_extract_all(html, '" + tx.REFERENCE + "', 1)), '^/', '') AS ref FROM pages) SELECT host, ref, count(*) AS uses FROM r WHERE ref <> '' AND NOT regexp_matches(ref, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|#|\\?|//|/)') AND NOT contains(ref, '..') GROUP BY ALL",
-    "t13_canon_links": "SELECT page_id, md5(regexp_replace(regexp_replace(replace(html, 'href=\"/', 'href=\"bword://'), 'href=\"bword://?', 'href=\"entry://', 'gi'), 'href=\"@', 'href=\"entry:@', 'g')) AS digest FROM pages",
-    "t14_targets": "SELECT p_partkey, '%40' || p_name || '%2350%25' AS target, '&lt;&#34;' || replace(replace(replace(p_type, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '&#34;&gt;&amp;' AS attr FROM part",
+    "t10_refs": f"SELECT page_id, generate_subscripts(r, 1) - 1 AS k, unnest(r) AS ref FROM (SELECT page_id, {_REFS} AS r FROM ({_WITH_MEDIA}))",
+    "t11_assets": f"WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, unnest({_REFS}) AS ref FROM pages) SELECT host, ref, count(*) AS uses FROM r WHERE ref <> '' AND NOT regexp_matches(ref, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|#|\\?|//)') AND NOT contains(ref, '..') GROUP BY ALL",
+    "t13_canon_links": "SELECT page_id, md5(replace(html, 'href=\"/', ['href=\"entry://', 'href=''entry://', 'href=\"entry:@', 'href = entry:@'][page_id % 4 + 1])) AS digest FROM pages",
+    "t14_targets": "SELECT p_partkey, '%40' || p_name || printf('%%%02X', p_partkey % 31 + 1) || '%2350%25@%7F' AS target, '&lt;&#34;' || replace(replace(replace(p_type, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '&#34;&gt;&amp;' AS attr FROM part",
     "t16_resource_key": f"WITH {_RES} SELECT seq, k AS name_key, {_MIME} AS mime, ext IN ({', '.join(map(fo.quoted, tx.MIME))}) AS is_asset FROM rk",
     "t18_junk": f"WITH {_RES} SELECT dict_id, count(*) FILTER ({_JUNK}) AS junk, count(*) AS files FROM rk GROUP BY dict_id",
     "r6_resource_pick": f"WITH {_RES} SELECT dict_id, seq FROM rk WHERE (k LIKE 'img/%' OR k LIKE '%.mp3') AND NOT (k LIKE '%.png' AND regexp_matches(k, '^(.*/)?[^/]*b[^/]*\\.png$')) AND NOT {_JUNK}",
@@ -269,7 +277,7 @@ ORACLE_SQL = {
     "m3_orphans": f"WITH {_KNOWN_SQL} SELECT dict_id, path FROM lost",
     "m4_relink": f"WITH {_KNOWN_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY name, size, digest ORDER BY dict_id) AS k FROM lost), b AS (SELECT *, row_number() OVER (PARTITION BY name, size, digest ORDER BY path) AS k FROM moved) SELECT a.dict_id, a.path, b.path AS new_path FROM a JOIN b ON a.name = b.name AND a.size = b.size AND a.digest = b.digest AND a.k = b.k",
     "m9_history": f"WITH l AS (SELECT event_id AS seq, ts, (CASE WHEN user_id % 2 = 0 THEN upper(event_type) ELSE event_type END) || ' ' || (user_id % 900) AS word FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY {fo.translate_sql('word', 'lower')} ORDER BY ts DESC, seq DESC) AS r FROM l) SELECT pos::INTEGER AS pos, word FROM (SELECT word, row_number() OVER (ORDER BY ts DESC, seq DESC) AS pos FROM o WHERE r = 1) WHERE pos <= 500",
-    "r11_user_title": "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE left(c_name || ' ' || c_mktsegment, 200) END AS title, coalesce(CASE WHEN c_custkey % 3 = 0 THEN false WHEN c_custkey % 3 = 1 THEN true END, false) AS flag FROM customer",
+    "r11_user_title": "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE left(c_name || ' ' || c_mktsegment || ' x', 200) END AS title, coalesce(CASE WHEN c_custkey % 3 = 0 THEN false WHEN c_custkey % 3 = 1 THEN true END, false) AS flag FROM customer",
     "l5_language": f"SELECT dict_id::INTEGER AS dict_id, lang FROM (VALUES {_VALUES(LANGUAGE_ROWS)}) t(dict_id, lang)",
     "l8_pair": "SELECT dict_id::INTEGER AS dict_id, pair FROM (VALUES (1, NULL), (2, 'en-ru'), (3, 'de-fr'), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, NULL), (9, NULL), (10, 'Monolingual'), (11, NULL), (12, 'en-it')) t(dict_id, pair)",
     "l10_rules_join": "SELECT dict_id::INTEGER AS dict_id, facet, group_name FROM (VALUES (1, 'publisher', 'oxford'), (10, 'publisher', 'collins'), (12, 'subject', 'medicine')) t(dict_id, facet, group_name)",

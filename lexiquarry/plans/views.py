@@ -28,16 +28,24 @@ def keyed(rows: DataFrame, w: str = "w") -> DataFrame:
     return rows.select("*", fo.fold(w).alias("fold_w"), fo.lower1(w).alias("lower_w"), fo.nocase(w).alias("nocase_w"), fo.capmask(w).alias("cap_w"))
 
 
-_HELD: dict[tuple[str, str, str], DataFrame] = {}
+_HELD: dict[tuple[str, str, str], tuple[int, DataFrame]] = {}
+
+
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
 
 
 def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A prepared table of a library (its store, its index): made once for a session and folder, then read from
-    Spark's cache, as a cluster would read the written tables of ``api.Library``."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A prepared table of a library (its store, its index): made once for a session and folder, and anew when its documents
+    were written since; then read from Spark's cache, as a cluster would read the written tables of ``api.Library``."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), changed_at(spark, f"{sf_dir}/documents.parquet")
+    if key in _HELD and _HELD[key][0] != now:
+        _HELD.pop(key)[1].unpersist()
     if key not in _HELD:
-        _HELD[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
-    return _HELD[key]
+        _HELD[key] = now, make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _HELD[key][1]
 
 
 def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,12 +91,12 @@ def doc_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same views as SQL, each a list of common table expressions.
 
 HEAD_SQL = rf"""
-token AS (SELECT DISTINCT lang AS dict_id, unnest(regexp_extract_all(text, '{WORD}')) AS w FROM documents),
-low AS (SELECT dict_id, w, {fo.translate_sql("w", "lower")} AS low FROM token),
-head AS (SELECT l.dict_id, l.w, t.w AS twin FROM low l LEFT JOIN token t ON t.dict_id = l.dict_id AND t.w = l.low AND l.low <> l.w),
-words AS (SELECT dict_id, w FROM head WHERE twin IS NULL UNION ALL SELECT dict_id, '@' || w FROM head WHERE twin IS NULL AND strlen(w) % 20 = 7),
-entry AS (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY w)::BIGINT AS id, w FROM words),
-alias AS (SELECT h.dict_id, row_number() OVER (PARTITION BY h.dict_id ORDER BY h.w)::BIGINT AS row, h.w, e.id AS entry_id
+token AS MATERIALIZED (SELECT DISTINCT lang AS dict_id, unnest(regexp_extract_all(text, '{WORD}')) AS w FROM documents),
+low AS MATERIALIZED (SELECT dict_id, w, {fo.translate_sql("w", "lower")} AS low FROM token),
+head AS MATERIALIZED (SELECT l.dict_id, l.w, t.w AS twin FROM low l LEFT JOIN token t ON t.dict_id = l.dict_id AND t.w = l.low AND l.low <> l.w),
+words AS MATERIALIZED (SELECT dict_id, w FROM head WHERE twin IS NULL UNION ALL SELECT dict_id, '@' || w FROM head WHERE twin IS NULL AND strlen(w) % 20 = 7),
+entry AS MATERIALIZED (SELECT dict_id, row_number() OVER (PARTITION BY dict_id ORDER BY w)::BIGINT AS id, w FROM words),
+alias AS MATERIALIZED (SELECT h.dict_id, row_number() OVER (PARTITION BY h.dict_id ORDER BY h.w)::BIGINT AS row, h.w, e.id AS entry_id
   FROM head h JOIN entry e ON e.dict_id = h.dict_id AND e.w = h.twin)"""
 
 DOC_SQL = rf"""
