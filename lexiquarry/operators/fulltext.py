@@ -93,12 +93,12 @@ def ladder(index: DataFrame, query: Query) -> DataFrame:
     return rows.withColumn("best", F.min("rung").over(first)).filter("rung = best").select(*DOC, F.element_at(names, F.col("rung") + 1).alias("rung"))
 
 
-def _statistics(index: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Term counts by document, document counts by term and dictionary, sizes of dictionaries."""
+def _statistics(index: DataFrame, terms: list[str], sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term counts by document, document counts by term and dictionary, sizes of dictionaries (from stored lengths, if there are any)."""
     folded = [latin_text(t) for t in terms]
     tf = index.filter(F.col("term").isin(folded)).groupBy("dict_id", "id", "term").agg(F.count(F.lit(1)).alias("wdf"))
     df = tf.groupBy(F.col("dict_id").alias("_d"), F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("df"))
-    size = lengths(index).groupBy(F.col("dict_id").alias("_s")).agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    size = (lengths(index) if sizes is None else sizes).groupBy(F.col("dict_id").alias("_s")).agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     return tf, df, size
 
 
@@ -113,9 +113,9 @@ def bm25_lengths(index: DataFrame, terms: list[str], n: int) -> DataFrame:
     return _best(rows.groupBy(*DOC).agg(F.round(F.sum(part), 6).alias("score")), n)
 
 
-def bm25_terms(index: DataFrame, terms: list[str], n: int, k1: float = 1.2) -> DataFrame:
+def bm25_terms(index: DataFrame, terms: list[str], n: int, k1: float = 1.2, sizes: DataFrame | None = None) -> DataFrame:
     """Scores by term counts and rarity alone, the n best a dictionary."""
-    tf, df, size = _statistics(index, terms)
+    tf, df, size = _statistics(index, terms, sizes)
     rows = tf.join(df, (F.col("dict_id") == F.col("_d")) & (F.col("term") == F.col("_t"))).join(F.broadcast(size), F.col("dict_id") == F.col("_s"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.greatest(idf, F.lit(1e-6)) * F.col("wdf") * (k1 + 1) / (F.col("wdf") + k1)

@@ -41,14 +41,15 @@ def t1_mark(spark, d):
     return articles.mapped_column(_pages(spark, d).select("page_id", "html"), "html", "marked", marker.mark).select("page_id", "marked")
 
 
-def t12_rewrite(spark, d):
-    return articles.mapped_column(_pages(spark, d).select("page_id", "html"), "html", "rewritten", lambda h: articles.rewrite_references(h, "pages")).select("page_id", "rewritten")
-
-
 #: Markup with references of every spelling, added to each page.
 MEDIA = """<img src='a b.png' srcset="s.png 1x, dir/l.png 2x"><a href=bare.html>x</a><p style="background: url( 'p.gif' )"><video poster="v.jpg"><style>i{background:url(q.png)}</style>"""
 
 
+def t12_rewrite(spark, d):
+    pages = _pages(spark, d).select("page_id", F.concat("html", F.lit(MEDIA)).alias("html"))
+    return articles.mapped_column(pages, "html", "rewritten", lambda h: articles.rewrite_references(h, "pages")).select("page_id", "rewritten")
+
+
 def t10_refs(spark, d):
     return _pages(spark, d).select("page_id", F.posexplode(tx.references(F.concat("html", F.lit(MEDIA)))).alias("k", "ref"))
 

@@ -11,7 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from lexiquarry.sources.formats import Record
+from lexiquarry.sources.formats import Record, style_sheet, styled
 
 #: A unit (cluster, block) may unpack to this much; above, the file is taken to be broken.
 MOST_UNIT = 1 << 28
@@ -173,10 +173,11 @@ def read_mdx(data: bytes) -> Iterator[Record]:
         except (ValueError, zlib.error):
             text += b"\0" * full
         at += packed
+    styles = style_sheet(info.get("StyleSheet", ""))
     ends = [o for o, _ in keys[1:]] + [len(text)]
     for (start, word), stop in zip(keys, ends):
         body = bytes(text[start:stop]).decode(codec, "replace").strip("\0\r\n ")
         seen = re.sub(r"<[^>]*>", "", body).strip()
         link = html.unescape(seen[8:]).strip() if seen.startswith("@@@LINK=") else ""
         if word.strip() and body and link != word:
-            yield Record([word], "" if link else body, "html", link)
+            yield Record([word], "" if link else styled(body, styles) if styles or "`" in body else body, "html", link)

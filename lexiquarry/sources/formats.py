@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: File-name suffixes and the format that they stand for; the longest one decides.
-MAIN = {".csv": "csv", ".tsv": "csv", ".json": "json", ".ifo": "stardict", ".dsl": "dsl", ".dsl.dz": "dsl", ".dict.md": "markdown", ".slob": "slob", ".mdx": "mdx", ".zim": "zim", ".zimaa": "zim", ".bgl": "bgl", "text.db": "store"}
+MAIN = {".csv": "csv", ".tsv": "csv", ".json": "json", ".ifo": "stardict", ".dsl": "dsl", ".dsl.dz": "dsl", ".dict.md": "markdown", ".slob": "slob", ".mdx": "mdx", ".zim": "zim", ".zimaa": "zim", ".zimaa": "zim", ".bgl": "bgl", "text.db": "store"}
 COMPANION = {".idx": "stardict", ".idx.gz": "stardict", ".dict": "stardict", ".dict.dz": "stardict", ".syn": "stardict", ".mdd": "mdx", "_abrv.dsl": "dsl", "_abrv.dsl.dz": "dsl", ".ann": "dsl", ".dsl.files.zip": "dsl", ".res.zip": "stardict"}
 CANDIDATE = {".zip", ".7z", ".tar.gz", ".gz"}
 
@@ -30,9 +30,15 @@ class Record:
     link_to: str = ""
 
 
+#: The parts of a split archive after its first.
+PART = re.compile(r"\.zim(?!aa)[a-z]{2}$", re.I)
+
+
 def classify(name: str) -> tuple[str, str]:
     """(main, companion, candidate or other; format) of a file name, by its longest known suffix."""
     low = name.lower()
+    if PART.search(low):
+        return "companion", "zim"
     found = [(len(s), "main", f) for s, f in MAIN.items() if low.endswith(s)]
     found += [(len(s), "companion", f) for s, f in COMPANION.items() if low.endswith(s)]
     found += [(len(s), "candidate", "") for s in CANDIDATE if low.endswith(s)]
@@ -42,6 +48,8 @@ def classify(name: str) -> tuple[str, str]:
 def stem(name: str) -> str:
     """The file name without its main suffix."""
     low = name.lower()
+    if PART.search(low):
+        return name[:-6]
     own = max((s for s in [*MAIN, *COMPANION] if low.endswith(s)), key=len, default="")
     return name[: len(name) - len(own)] if own else name.rsplit(".", 1)[0]
 
@@ -178,6 +186,50 @@ def expand_title(title: str) -> list[str]:
     return out
 
 
+_STYLE = re.compile(r"`(\d+)`")
+
+
+def styled(text: str, styles: dict[int, tuple[str, str]]) -> str:
+    """Style tokens as the beginning and end that their number stands for, up to the next token; text before the first is of
+    style 0, and numbers without a style leave their text bare."""
+    parts = _STYLE.split(text)
+    numbers = [0, *(int(n) if len(n) < 10 else -1 for n in parts[1::2])]
+    stretches = list(zip(numbers, parts[::2]))
+    # Nothing follows a token at the very end.
+    if len(stretches) > 1 and not stretches[-1][1]:
+        stretches.pop()
+    return "".join(styles.get(n, ("", ""))[0] + t + styles.get(n, ("", ""))[1] for n, t in stretches)
+
+
+def style_sheet(text: str) -> dict[int, tuple[str, str]]:
+    """Numbered styles of a file head: three lines each, number, beginning and end."""
+    lines = re.split(r"\r\n?|\n", text)
+    return {int(n): (a, b) for n, a, b in zip(lines[::3], lines[1::3], [*lines[2::3], ""]) if n.strip().isdigit() and int(n) < 256}
+
+
+#: Languages that card markup names in its own way, and its older numbers.
+DSL_NAMES = {"armenianwestern": "hyw", "azericyrillic": "az-Cyrl", "azerilatin": "az-Latn", "chineseprc": "zh-Hans", "kirgiz": "ky", "norwegianbokmal": "nb", "norwegiannynorsk": "nn", "serbiancyrillic": "sr-Cyrl", "serbianlatin": "sr-Latn", "uzbekcyrillic": "uz-Cyrl", "uzbeklatin": "uz-Latn"}
+DSL_NUMBERS = {1: "en", 2: "ru", 3: "de", 4: "fr", 5: "it", 6: "es", 7: "es", 8: "pt", 9: "eu", 10: "nl", 11: "fi", 12: "sv", 13: "da", 14: "nb", 15: "af", 16: "id", 17: "sw", 18: "cs", 19: "hu", 20: "pl", 21: "be", 22: "bg", 23: "sr-Cyrl", 24: "uk", 25: "nn", 26: "de", 27: "tr", 28: "zh-Hans", 29: "zh-Hant", 30: "la"}
+
+
+def dsl_language(attributes: str) -> str:
+    """The HTML attributes of a language zone: what its author wrote, and the language that this means."""
+    from lexiquarry.operators.direct import PRIMARY, WHOLE
+    from lexiquarry.operators.languages import CODES
+
+    found = re.search(r'\b(name|id)\s*=\s*"?([^"\]]+?)"?\s*$', attributes)
+    if not found:
+        return ""
+    raw = found[2].strip()
+    if found[1] == "name":
+        low = raw.lower()
+        tag = DSL_NAMES.get(low) or CODES.get(low) or next((CODES[n] for n in sorted((c for c in CODES if len(c) > 3), key=lambda n: (-len(n), n)) if low.startswith(n)), "")
+    else:
+        n = int(raw) if raw.isdigit() else 0
+        tag = DSL_NUMBERS.get(n) or (WHOLE.get(n) or PRIMARY.get(n & 1023, "") if n else "")
+    return f' data-lang="{html.escape(raw)}"' + (f' lang="{tag}"' if tag else "")
+
+
 #: Card markup and its HTML.
 DSL_TAGS = {"b": "b", "i": "i", "u": "u", "sub": "sub", "sup": "sup", "ex": "span", "com": "span", "trn": "span", "c": "span", "p": "i", "m": "div", "'": "u", "*": "span", "t": "span", "lang": "span"}
 
@@ -187,16 +239,41 @@ def dsl_html(text: str) -> str:
     text = re.sub(r"<<(.*?)>>|\[ref[^\]]*\](.*?)\[/ref\]", lambda m: f"\1{m[1] or m[2]}\2", text)
     text = re.sub(r"\[s\](.*?)\[/s\]", lambda m: f"\3{m[1]}\4", text)
     text = escaped(text)
-    text = re.sub(r"(?<!\\)\[(/?)(\w+|['*])[^\]]*\]", lambda m: (f"<{m[1]}{DSL_TAGS[t]}>" if (t := re.sub(r"\d+$", "", m[2])) in DSL_TAGS else ""), text)
+    text = re.sub(r"(?<!\\)\[(/?)(\w+|['*])([^\]]*)\]", lambda m: (f"<{m[1]}{DSL_TAGS[t]}{dsl_language(html.unescape(m[3])) if t == 'lang' and not m[1] else ''}>" if (t := re.sub(r"\d+$", "", m[2])) in DSL_TAGS else ""), text)
     text = re.sub("\1(.*?)\2", lambda m: f'<a href="entry://{m[1]}">{m[1]}</a>', text)
     text = re.sub("\3(.*?)\4", lambda m: f'<img src="{m[1]}">', text)
     return re.sub(r"\\(.)", r"\1", text)
 
 
-def read_dsl(data: bytes) -> Iterator[Record]:
-    """Cards: titles at the line start, bodies indented; # lines are directives; @ starts a sub-card with a link from its card."""
+_INCLUDE = re.compile(r'#INCLUDE\s+"([^"]+)"', re.I)
+
+
+def dsl_includes(data: bytes) -> list[str]:
+    """The names of the files that a card file includes."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
+    lines = decoded(data).splitlines()
+    return [m[1].replace("\\", "/").rsplit("/", 1)[-1] for x in lines if x.startswith("#") and (m := _INCLUDE.match(x))]
+
+
+def dsl_lines(data: bytes, others: dict[str, bytes], seen: frozenset = frozenset()) -> Iterator[str]:
+    """Lines of a card file, those of the files it includes in place of the directive; a file within itself counts once."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    for line in decoded(data).splitlines():
+        found = _INCLUDE.match(line)
+        name = found[1].replace("\\", "/").rsplit("/", 1)[-1].lower() if found else ""
+        if found and name not in seen:
+            inside = next((c for n, c in others.items() if n.lower() == name), None)
+            if inside is not None:
+                yield from dsl_lines(inside, others, seen | {name})
+        elif not found:
+            yield line
+
+
+def read_dsl(data: bytes, others: dict[str, bytes] | None = None, name: str = "") -> Iterator[Record]:
+    """Cards: titles at the line start, bodies indented; # lines are directives, of which #INCLUDE takes in one of the
+    other files (by name, and none that is being read); @ starts a sub-card with a link from its card."""
     titles: list[str] = []
     lines: list[str] = []
 
@@ -220,7 +297,7 @@ def read_dsl(data: bytes) -> Iterator[Record]:
             yield Record(["@" + name], "<br/>".join(map(dsl_html, sub)))
         yield Record(keys, "<br/>".join(map(dsl_html, own)))
 
-    for line in decoded(data).splitlines():
+    for line in dsl_lines(data, others or {}, frozenset([name.lower()])):
         if line.startswith("#"):
             continue
         if line[:1] in ("\t", " "):
