@@ -4,7 +4,9 @@ Stages take (spark, docs, sf_dir) and return a DataFrame; each result is written
 Parquet and read again as the next stage's documents. All but the last return the columns of
 documents.
 
-1. language: documents whose language cannot be told (no text, or no letter) go.
+1. language: documents go that have no text or no letter, and those whose predicted language has a calibrated score under
+   ``language.LEAST_SCORE`` (one half: no language is likelier than all others together). The model learns from the documents that
+   state a language; where none does, only texts without a letter go.
 2. near_duplicates: of each component of five-word shingle Jaccard links of 0.75 or more, the
    document with the least doc_id stays (of equal doc_ids one row). Documents without words are alone in theirs.
 3. repeats: bytes covered by a 100-byte string that starts earlier are cut from the texts; a character cut
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import bpe, decontaminate, jaccard, language, substrings
-from lexiquarry.llm.common import shared_dir, table
+from lexiquarry.llm.common import scratch, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{scratch(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -23,14 +23,14 @@ def visible(entries: DataFrame) -> DataFrame:
     return entries.filter(~is_sub())
 
 
-def positioned(rows: DataFrame) -> DataFrame:
+def positioned(rows: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
     """The rows with pos, their place in browse order."""
-    return numbered(rows, "dict_id", F.substring("nocase_w", 1, 2), ["nocase_w", "id"], "pos")
+    return numbered(rows, "dict_id", F.substring("nocase_w", 1, 2), ["nocase_w", "id"], "pos", start, stop)
 
 
 def page(entries: DataFrame, offset: int, n: int) -> DataFrame:
     """Rows offset to offset + n of each dictionary; a word equal to the one before it in the slice is left out."""
-    rows = positioned(visible(entries).select("dict_id", "id", "w", "nocase_w")).filter((F.col("pos") >= offset) & (F.col("pos") < offset + n))
+    rows = positioned(visible(entries).select("dict_id", "id", "w", "nocase_w"), offset, offset + n)
     rows = rows.withColumn("before", F.lag("w").over(Window.partitionBy("dict_id").orderBy("pos")))
     return rows.filter(F.col("before").isNull() | (F.col("before") != F.col("w"))).select("dict_id", "pos", "id", "w")
 

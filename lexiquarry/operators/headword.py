@@ -114,8 +114,8 @@ def with_headword(hits: DataFrame, entries: DataFrame, *columns: str) -> DataFra
 
 def keywords(entries: DataFrame, offset: int, n: int) -> DataFrame:
     """A slice of the visible headwords of each dictionary in id order."""
-    rows = numbered(entries.filter(~is_sub()), "dict_id", F.floor(F.col("id") / 65536), ["id"], "pos").filter(F.col("pos") >= offset)
-    return (rows.filter(F.col("pos") < offset + n) if n > 0 else rows).select("dict_id", "pos", "id", "w")
+    rows = numbered(entries.filter(~is_sub()), "dict_id", F.floor(F.col("id") / 65536), ["id"], "pos", offset, offset + n if n > 0 else None)
+    return rows.select("dict_id", "pos", "id", "w")
 
 
 def has(entries: DataFrame, aliases: DataFrame, words: DataFrame) -> DataFrame:
