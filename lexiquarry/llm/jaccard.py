@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ ORDERED = 1 << 20
 LARGE, BLOCK, CHOSEN = 64, 1024, 3
 #: Shingles that a task holds before it counts or deals them.
 HELD = 1 << 18
-#: Nodes up to this number are sent to every executor (8 bytes each), beyond it joined.
+#: Documents up to this number are sent to every executor (8 bytes each), beyond it joined.
 SMALL_IDS = 1_000_000
 
 
@@ -67,8 +68,27 @@ def prefix_length(n: int) -> int:
     return n - -(-SHARE[0] * n // SHARE[1]) + 1
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a set: among 10^12 sets two of one node have a chance under one in 10^14."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _column(nodes: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Nodes (of type V16) as an Arrow column."""
+    ends = np.arange(0, 16 * len(nodes) + 1, 16, dtype=np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(nodes).tobytes())])
+    return column if valid is None else pc.if_else(pa.array(valid), column, pa.scalar(None, pa.binary()))
+
+
+def _halves(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(nodes).view(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _ranked(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each node among the distinct ones in order, and those."""
+    distinct_ = pa.array(sorted(pc.unique(column).to_pylist()), pa.binary())
+    return pc.index_in(column, value_set=distinct_).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64), distinct_
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -89,7 +109,7 @@ def overlap_bound(n: int, bits: bytes, m: int, other: bytes) -> int:
     return min(n, m, (n + m - int(np.bitwise_count(x ^ y).sum())) // 2)
 
 
-def _often(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+def _often(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
     """Shingles that several of these sets hold, with their counts."""
     words = np.sort(np.concatenate(list(sets.values()))) if sets else np.zeros(0, np.uint64)
     edge = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
@@ -97,11 +117,11 @@ def _often(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
     often = counts > 1
     token, count = words[edge][often].view(np.int64), counts[often]
     k = len(token)
-    return pa.record_batch({"doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "node": pa.nulls(k, pa.int64()), "bits": pa.nulls(k, pa.binary()), "token": pa.array(token), "often": pa.array(count, pa.int64())})
+    return pa.record_batch({"doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "node": pa.nulls(k, pa.binary()), "bits": pa.nulls(k, pa.binary()), "token": pa.array(token), "often": pa.array(count, pa.int64())})
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every: dict[int, np.ndarray] = {}
+    every: dict[bytes, np.ndarray] = {}
     for batch in batches:
         n, nodes, bits = [], [], []
         for _, h in row_shingles(*text_buffers(batch["text"])):
@@ -112,21 +132,22 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 every[nodes[-1]] = s
         rows = len(n)
-        yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "bits": pa.array(bits, pa.binary()), "token": pa.nulls(rows, pa.int64()), "often": pa.nulls(rows, pa.int64())})
+        yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.binary()), "bits": pa.array(bits, pa.binary()), "token": pa.nulls(rows, pa.int64()), "often": pa.nulls(rows, pa.int64())})
         if sum(map(len, every.values())) >= HELD:
             yield _often(every)
             every = {}
     yield _often(every)
 
 
-_DESCRIBED = "doc_id long, n long, node long, bits binary, token long, often long"
+_DESCRIBED = "doc_id long, n long, node binary, bits binary, token long, often long"
 
 
 def _prefixes(frequent, parts: int):
     """Packed (tile, shingle, node, size) of the prefixes of each batch's distinct sets."""
 
     def packed(tokens: list, nodes: list, sizes: list) -> Iterator[pa.RecordBatch]:
-        t, d, z = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+        t, z = np.concatenate(tokens), np.concatenate(sizes)
+        d = np.repeat(np.frombuffer(b"".join(nodes), "V16"), [len(x) for x in tokens])
         at = np.concatenate([np.arange(len(x), dtype=np.int32) for x in tokens])
         tile = (t % np.uint64(parts)).astype(np.int32)
         # 32 bits of a shingle are enough inside a tile: two that share them only cause a comparison.
@@ -159,7 +180,7 @@ def _prefixes(frequent, parts: int):
                 else:
                     head = s[:most]
                 tokens.append(head)
-                nodes.append(np.full(len(head), node, np.int64))
+                nodes.append(node)
                 sizes.append(np.full(len(head), len(s), np.int32))
                 held += len(head)
             if held >= HELD:
@@ -177,7 +198,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for tile, t, d, z, a in zip(*(batch[c].to_pylist() for c in ("tile", "tokens", "nodes", "sizes", "places"))):
             keys.append(np.frombuffer(t, np.uint32).astype(np.uint64) | np.uint64(tile << 32))
-            nodes.append(np.frombuffer(d, np.int64))
+            nodes.append(np.frombuffer(d, "V16"))
             sizes.append(np.frombuffer(z, np.int32))
             places.append(np.frombuffer(a, np.int32))
     if not keys:
@@ -190,10 +211,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     order, g = order[shared], g[shared]
     d, z, at = d[order], z[order], at[order]
-    order = np.lexsort((at, d, z, g))
+    order = np.lexsort((at, *_halves(d), z, g))
     g, d, z, at = g[order], d[order], z[order].astype(np.int64), at[order].astype(np.int64)
     fresh = np.ones(len(g), bool)
-    fresh[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    low, high = _halves(d)
+    fresh[1:] = (g[1:] != g[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    del low, high
     g, d, z, at = g[fresh], d[fresh], z[fresh], at[fresh]
     if len(g) < 2:
         return
@@ -203,15 +226,15 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = -(-SHARE[0] * (z[1:] + z[:-1]) // (SHARE[0] + SHARE[1]))
     fits &= (z[1:] - at[1:] >= least) & (z[:-1] - at[:-1] >= least)
     has = np.append(fits, False)
-    following = np.append(d[1:], 0)
+    following = np.concatenate((d[1:], np.zeros(1, "V16")))
     g, d, z, at, following, has = g[keep].view(np.int64), d[keep], z[keep], at[keep], following[keep], has[keep]
     for i in range(0, len(g), 1 << 16):
         s = slice(i, i + (1 << 16))
-        yield pa.record_batch({"g": pa.array(g[s]), "node": pa.array(d[s]), "n": pa.array(z[s]), "place": pa.array(at[s]), "following": pa.array(following[s], mask=~has[s])})
+        yield pa.record_batch({"g": pa.array(g[s]), "node": _column(d[s]), "n": pa.array(z[s]), "place": pa.array(at[s]), "following": _column(following[s], has[s])})
 
 
 def block_links(nodes: np.ndarray, sets: list[np.ndarray], bits: list[bytes], labels: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join components among pairs of the two sides (or all, if there is one side)."""
+    """Links that join components among pairs of the two sides (or all, if there is one side). nodes and labels: numbers that stand for them."""
     parent = {int(x): int(x) for x in labels}
 
     def root(x: int) -> int:
@@ -259,10 +282,10 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], bits: list[bytes], la
 
 
 def _blocks(table_):
-    nodes = table_["node"].to_numpy()
+    nodes, names = _ranked(table_["node"])
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table_["s"]]
-    found = block_links(nodes, sets, table_["bits"].to_pylist(), table_["label"].to_numpy(), table_["side"].to_numpy())
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    found = block_links(nodes, sets, table_["bits"].to_pylist(), _ranked(table_["label"])[0], table_["side"].to_numpy())
+    return pa.table({"a": names.take(pa.array([x for x, _ in found], pa.int64())), "b": names.take(pa.array([y for _, y in found], pa.int64()))})
 
 
 _OPEN = ("g", "node", "n", "place", "label", "c0", "c1", "c2")
@@ -274,7 +297,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     rows = pa.Table.from_batches(held)
-    g, node, n, place, label, *chosen = (rows[c].to_numpy() for c in _OPEN)
+    (node, names), (label, _) = _ranked(rows["node"]), _ranked(rows["label"])
+    g, n, place, *chosen = (rows[c].to_numpy() for c in _OPEN if c not in ("node", "label"))
     order = np.lexsort((n, g))
     g, node, n, place, label = g[order], node[order], n[order], place[order], label[order]
     chosen = np.stack(chosen, 1)[order]
@@ -295,7 +319,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep &= (chosen[first, a] != chosen[second, b]) | (chosen[first, a] == 0)
         x, y = node[first[keep]], node[second[keep]]
         pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-        yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        yield pa.record_batch({"a": names.take(pa.array(pairs[:, 0])), "b": names.take(pa.array(pairs[:, 1]))})
         i = j
 
 
@@ -315,9 +339,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(node_of(s))
                 sets.append(s.tobytes())
             if len(sets) >= 256:
-                yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "s": pa.array(sets, pa.binary())})
+                yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "s": pa.array(sets, pa.binary())})
                 nodes, sets = [], []
-        yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "s": pa.array(sets, pa.binary())})
+        yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "s": pa.array(sets, pa.binary())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +362,7 @@ def _node_sets(nodes: DataFrame, docs: DataFrame, asked: DataFrame) -> DataFrame
     if ids.count() <= SMALL_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    return mapped(texts, _sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
+    return mapped(texts, _sets, "node binary, s binary").groupBy("node").agg(F.first("s").alias("s"))
 
 
 def _links(near: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -346,7 +370,7 @@ def _links(near: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _node_sets(nodes, docs, near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     x = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return mapped(near.join(x, "a").join(y, "b"), _verified, "a long, b long")
+    return mapped(near.join(x, "a").join(y, "b"), _verified, "a binary, b binary")
 
 
 def _met_in_blocks(opened: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -362,7 +386,7 @@ def _met_in_blocks(opened: DataFrame, nodes: DataFrame, docs: DataFrame) -> tupl
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("g", "node", "label", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(sets, "node")
     ship(docs.sparkSession)
-    return pairs.groupBy("g", "i", "j").applyInArrow(_blocks, "a long, b long").distinct(), met
+    return pairs.groupBy("g", "i", "j").applyInArrow(_blocks, "a binary, b binary").distinct(), met
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -387,7 +411,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast((tokens[order], counts[order]))
     parts = partitions(spark)
     packed = mapped(docs, _prefixes(frequent, parts), "tile int, tokens binary, nodes binary, sizes binary, places binary")
-    shared = stored(mapped(packed.repartitionById(parts, "tile"), _tiles, "g long, node long, n long, place long, following long"))
+    shared = stored(mapped(packed.repartitionById(parts, "tile"), _tiles, "g long, node binary, n long, place long, following binary"))
     nodes = stored(rows.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     beside = cut(shared.filter(F.col("following").isNotNull()).select(F.least("node", "following").alias("a"), F.greatest("node", "following").alias("b")).distinct())
@@ -395,7 +419,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        return cut(mapped(pairs.join(left, "a").join(right, "b"), _bounded, "a long, b long"))
+        return cut(mapped(pairs.join(left, "a").join(right, "b"), _bounded, "a binary, b binary"))
 
     links = cut(_links(bounded(beside), nodes, docs))
     label = components(links)
@@ -413,7 +437,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Where all rows met at one shingle, nothing is left.
     apart = opened.groupBy(F.col("g").alias("h")).agg(F.min("c0").alias("low"), F.max("c0").alias("high")).filter("low < high or low = 0").select("h")
     opened = opened.join(apart, F.col("g") == F.col("h"), "left_semi")
-    across = mapped(opened.select(*_OPEN).repartition(parts, "g"), _across, "a long, b long").distinct().join(beside, ["a", "b"], "left_anti")
+    across = mapped(opened.select(*_OPEN).repartition(parts, "g"), _across, "a binary, b binary").distinct().join(beside, ["a", "b"], "left_anti")
     last = cut(_links(bounded(across), nodes, docs))
     links = links.union(last)
     label = components(links) if last.count() else label
