@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import fold as fo
@@ -139,29 +139,34 @@ def x13_case_habit(spark, d):
     return counts.withColumn("r", F.row_number().over(w)).filter("r = 1").select("dict_id", "habit", "n")
 
 
-def x12_stems(spark, d):
-    """English words of which a stem (plural, -ed, -ing) is an entry too."""
-    words = views.tokens(spark, d).filter("dict_id = 'en'").select("w").filter(~F.col("w").rlike(fo.CAPITAL) & F.col("w").rlike(r"\p{Ll}"))
-    w = F.col("w")
+#: Languages whose words lose a plural ending alone; English loses those of verbs too.
+PLURALS = ("ca", "es", "fr", "it", "pt", "ro")
+
+
+def stems(w: str, lang: str) -> Column:
+    """What a word of small letters may be a form of, by its ending, in the language of a column; a doubled last letter also goes."""
 
     def cut(n: int, then: str = "") -> list:
-        s = F.concat(F.expr(f"left(w, char_length(w) - {n})"), F.lit(then))
+        stem = F.expr(f"left({w}, char_length({w}) - {n})")
         if then:
-            return [s]
-        stem = F.expr(f"left(w, char_length(w) - {n})")
-        doubled = F.when(F.expr(f"right(left(w, char_length(w) - {n}), 1) = right(left(w, char_length(w) - {n + 1}), 1) AND char_length(w) > {n + 1}"), F.expr(f"left(w, char_length(w) - {n + 1})"))
-        return [stem, doubled]
-
-    stems = (
-        F.when(w.endswith("ies"), F.array(*cut(3, "y")))
-        .when(w.endswith("ied"), F.array(*cut(3, "y")))
-        .when(w.endswith("ed"), F.array(*cut(2), *cut(1)))
-        .when(w.endswith("ing"), F.array(*cut(3), *cut(3, "e")))
-        .when(w.endswith("es"), F.array(*cut(2), *cut(1)))
-        .when(w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us") & ~w.endswith("is"), F.array(*cut(1)))
-    )
-    rows = words.select("w", F.explode(F.array_distinct(F.array_compact(stems))).alias("stem")).filter(F.char_length("stem") >= 3)
-    return rows.join(words.select(F.col("w").alias("_w")), F.col("stem") == F.col("_w"), "left_semi").select("w", "stem")
+            return [F.concat(stem, F.lit(then))]
+        last, before = F.right(stem, F.lit(1)), F.substring(stem, -2, 1)
+        return [stem, F.when((F.char_length(stem) >= 2) & (last == before), F.expr(f"left({w}, char_length({w}) - {n + 1})"))]
+
+    c, language = F.col(w), F.col(lang)
+    plain = ~c.endswith("ss") & ~c.endswith("us") & ~c.endswith("is")
+    plural = F.when(c.endswith("es"), F.array(*cut(2), *cut(1))).when(c.endswith("s") & plain, F.array(*cut(1)))
+    verb = F.when(c.endswith("ies") | c.endswith("ied"), F.array(*cut(3, "y"))).when(c.endswith("ed"), F.array(*cut(2), *cut(1))).when(c.endswith("ing"), F.array(*cut(3), *cut(3, "e")))
+    found = F.when(language == "en", F.coalesce(verb, plural)).when(language.isin(*PLURALS), plural)
+    return F.filter(F.array_distinct(F.array_compact(found)), lambda s: F.char_length(s) >= 3)
+
+
+def x12_stems(spark, d):
+    """Words of which a stem is an entry of the same dictionary too."""
+    words = views.tokens(spark, d).filter(~F.col("w").rlike(fo.CAPITAL) & F.col("w").rlike(r"\p{Ll}"))
+    rows = words.select("dict_id", "w", F.explode(stems("w", "dict_id")).alias("stem"))
+    known = words.select(F.col("dict_id").alias("_d"), F.col("w").alias("_w"))
+    return rows.join(known, (F.col("dict_id") == F.col("_d")) & (F.col("stem") == F.col("_w")), "left_semi").select("dict_id", "w", "stem")
 
 
 def x10_random_word(spark, d):
@@ -265,9 +270,9 @@ SELECT dict_id, rank::INTEGER AS rank, 'zzthes' AS from_word, lemma AS to_word,
   FROM ek e JOIN asked a ON a.lang = e.dict_id AND e.fold_w = {fo.translate_sql("a.lemma", "fold")}) WHERE rank <= {N}""",
     "x10_random_word": f"WITH {views.HEAD_SQL} SELECT dict_id, arg_min(w, (md5('seed-1#' || w), w)) AS w FROM token WHERE len(w) BETWEEN 4 AND 18 AND NOT regexp_matches(w, '{fo.CAPITAL}') GROUP BY dict_id",
     "x11_word_shape": f"WITH {views.HEAD_SQL}, {_CASED} SELECT dict_id, letters >= 4 AND letters <= 18 AND NOT regexp_matches(w, '^\\p{{M}}') AS word_shape, {_CASE} AS word_case, count(*) AS n FROM cased GROUP BY ALL",
-    "x12_stems": f"""WITH {views.HEAD_SQL}, w AS (SELECT w FROM token WHERE dict_id = 'en' AND NOT regexp_matches(w, '{fo.CAPITAL}') AND regexp_matches(w, '\\p{{Ll}}')),
-s AS (SELECT w, unnest(list_distinct(CASE WHEN w LIKE '%ies' OR w LIKE '%ied' THEN [{_stem_sql(3, "y")}] WHEN w LIKE '%ed' THEN [{_stem_sql(2)}, {_stem_sql(1)}] WHEN w LIKE '%ing' THEN [{_stem_sql(3)}, {_stem_sql(3, "e")}]
-  WHEN w LIKE '%es' THEN [{_stem_sql(2)}, {_stem_sql(1)}] WHEN w LIKE '%s' AND NOT w LIKE '%ss' AND NOT w LIKE '%us' AND NOT w LIKE '%is' THEN [{_stem_sql(1)}] END)) AS stem FROM w)
-SELECT w, stem FROM s WHERE len(stem) >= 3 AND stem IN (SELECT w FROM w)""",
+    "x12_stems": f"""WITH {views.HEAD_SQL}, w AS (SELECT dict_id, w FROM token WHERE NOT regexp_matches(w, '{fo.CAPITAL}') AND regexp_matches(w, '\\p{{Ll}}')),
+s AS (SELECT dict_id, w, unnest(list_distinct(CASE WHEN dict_id = 'en' AND (w LIKE '%ies' OR w LIKE '%ied') THEN [{_stem_sql(3, "y")}] WHEN dict_id = 'en' AND w LIKE '%ed' THEN [{_stem_sql(2)}, {_stem_sql(1)}] WHEN dict_id = 'en' AND w LIKE '%ing' THEN [{_stem_sql(3)}, {_stem_sql(3, "e")}]
+  WHEN dict_id IN ('en', {", ".join(map(fo.quoted, PLURALS))}) AND w LIKE '%es' THEN [{_stem_sql(2)}, {_stem_sql(1)}] WHEN dict_id IN ('en', {", ".join(map(fo.quoted, PLURALS))}) AND w LIKE '%s' AND NOT w LIKE '%ss' AND NOT w LIKE '%us' AND NOT w LIKE '%is' THEN [{_stem_sql(1)}] END)) AS stem FROM w)
+SELECT dict_id, w, stem FROM s WHERE len(stem) >= 3 AND (dict_id, stem) IN (SELECT (dict_id, w) FROM w)""",
     "x13_case_habit": f"WITH {views.HEAD_SQL}, {_CASED}, n AS (SELECT dict_id, {_CASE} AS habit, count(*) AS n FROM cased GROUP BY ALL) SELECT dict_id, habit, n FROM (SELECT *, row_number() OVER (PARTITION BY dict_id ORDER BY n DESC, habit) AS r FROM n) WHERE r = 1",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.shipping import ship
-from lexiquarry.sources import containers, stores
+from lexiquarry.sources import babylon, containers, stores
 from lexiquarry.sources import formats as rec
 
 RECORD = "dict_id string, seq long, headwords array<string>, body string, kind string, link_to string, problem string"
@@ -77,7 +77,7 @@ def _parsed(rows):
             elif form == "zim":
                 found = containers.read_zim(files[name] + b"".join(files[n] for n in sorted(files) if n != name and rec.PART.search(n)))
             else:
-                found = {"csv": rec.read_csv, "json": rec.read_json, "markdown": rec.read_markdown, "slob": rec.read_slob, "mdx": containers.read_mdx, "store": stores.read_store}[form](files[name])
+                found = {"csv": rec.read_csv, "json": rec.read_json, "markdown": rec.read_markdown, "slob": rec.read_slob, "mdx": containers.read_mdx, "bgl": babylon.read_bgl, "store": stores.read_store}[form](files[name])
             for r in found:
                 link = r.link_to or rec.link_target(r.body)
                 out.append((own, len(out), r.headwords, "" if link else r.body, r.kind, link, None))

@@ -63,3 +63,28 @@ def mdx(new, codec, encoding):
 def test_mdx(new, codec, encoding):
     got = [(r.headwords, r.body, r.link_to) for r in containers.read_mdx(mdx(new, codec, encoding))]
     assert got == [(["alpha"], "<p>first</p>", ""), (["beta"], "", "alpha"), (["zeta"], "last", "")]
+
+
+def bgl():
+    import gzip
+
+    def block(kind, body):
+        return bytes([kind | (len(body) + 4) << 4]) + body if len(body) < 12 else bytes([kind | 1 << 4]) + len(body).to_bytes(2, "big") + body
+
+    def entry(word, article, *others):
+        return bytes([len(word)]) + word + len(article).to_bytes(2, "big") + article + b"".join(bytes([len(o)]) + o for o in others)
+
+    long = b"\0\0\0\0\3big" + (1).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"lg" + (4).to_bytes(4, "big") + b"size"
+    text = block(0, b"\x08\x41") + block(3, b"\0\x1a\x44") + block(3, b"\0\x1b\x44")
+    text += block(1, entry("кот$12$".encode("cp1251"), "<b>cat</b> <charset c=T>00E9;4E00;</charset>\x14\x02\x30".encode("cp1251"), b"kot", "кот".encode("cp1251")))
+    text += block(1, b"\x09short") + block(11, long) + block(2, b"picture") + block(4, b"") + block(1, entry(b"after", b"the end"))
+    return b"\x12\x34\x00\x02\x00\x0a" + b"\0" * 4 + gzip.compress(text)
+
+
+def test_bgl():
+    from lexiquarry.sources import babylon
+
+    assert [(r.headwords, r.body) for r in babylon.read_bgl(bgl())] == [(["кот", "kot"], "<b>cat</b> é一"), (["big", "lg"], "size")]
+    assert list(babylon.read_bgl(bgl()[:-9]))[:1] == list(babylon.read_bgl(bgl()))[:1]
+    with pytest.raises(ValueError):
+        list(babylon.read_bgl(b"x" * 40))
