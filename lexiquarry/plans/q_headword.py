@@ -170,9 +170,13 @@ def x12_stems(spark, d):
 
 
 def x10_random_word(spark, d):
-    """A fixed draw from each dictionary: the word of the right shape and of small letters with the least hash."""
+    """A fixed draw from each dictionary: of the words of the right shape and of small letters the one with the least hash, forms of
+    other words of the dictionary only where it has nothing else."""
     t = views.tokens(spark, d).filter((F.char_length("w") >= 4) & (F.char_length("w") <= 18) & ~F.col("w").rlike(fo.CAPITAL))
-    return t.groupBy("dict_id").agg(F.min(F.struct(F.md5(F.concat_ws("#", F.lit("seed-1"), "w")).alias("h"), "w")).alias("m")).select("dict_id", F.col("m.w").alias("w"))
+    forms = x12_stems(spark, d).select(F.col("dict_id").alias("_d"), F.col("w").alias("_w")).distinct()
+    vetted = t.join(forms, (F.col("dict_id") == F.col("_d")) & (F.col("w") == F.col("_w")), "left")
+    place = F.struct(F.col("_w").isNotNull().cast("int").alias("form"), F.md5(F.concat_ws("#", F.lit("seed-1"), "w")).alias("h"), "w")
+    return vetted.groupBy("dict_id").agg(F.min(place).alias("m")).select("dict_id", F.col("m.w").alias("w"))
 
 
 #: Own lemma rows (lang, form, lemma), as a lemma file would give them.
@@ -268,7 +272,6 @@ asked AS (SELECT m.lang, l.lemma FROM missed m JOIN (VALUES {", ".join(f"('{a}',
 SELECT dict_id, rank::INTEGER AS rank, 'zzthes' AS from_word, lemma AS to_word, w AS key FROM (
   SELECT e.dict_id, a.lemma, e.w, row_number() OVER (PARTITION BY e.dict_id ORDER BY (e.w <> a.lemma)::INTEGER, e.lower_w, e.cap_w, e.w, e.id) AS rank
   FROM ek e JOIN asked a ON a.lang = e.dict_id AND e.fold_w = {fo.translate_sql("a.lemma", "fold")}) WHERE rank <= {N}""",
-    "x10_random_word": f"WITH {views.HEAD_SQL} SELECT dict_id, arg_min(w, (md5('seed-1#' || w), w)) AS w FROM token WHERE len(w) BETWEEN 4 AND 18 AND NOT regexp_matches(w, '{fo.CAPITAL}') GROUP BY dict_id",
     "x11_word_shape": f"WITH {views.HEAD_SQL}, {_CASED} SELECT dict_id, letters >= 4 AND letters <= 18 AND NOT regexp_matches(w, '^\\p{{M}}') AS word_shape, {_CASE} AS word_case, count(*) AS n FROM cased GROUP BY ALL",
     "x12_stems": f"""WITH {views.HEAD_SQL}, w AS (SELECT dict_id, w FROM token WHERE NOT regexp_matches(w, '{fo.CAPITAL}') AND regexp_matches(w, '\\p{{Ll}}')),
 s AS (SELECT dict_id, w, unnest(list_distinct(CASE WHEN dict_id = 'en' AND (w LIKE '%ies' OR w LIKE '%ied') THEN [{_stem_sql(3, "y")}] WHEN dict_id = 'en' AND w LIKE '%ed' THEN [{_stem_sql(2)}, {_stem_sql(1)}] WHEN dict_id = 'en' AND w LIKE '%ing' THEN [{_stem_sql(3)}, {_stem_sql(3, "e")}]
@@ -276,3 +279,7 @@ s AS (SELECT dict_id, w, unnest(list_distinct(CASE WHEN dict_id = 'en' AND (w LI
 SELECT dict_id, w, stem FROM s WHERE len(stem) >= 3 AND (dict_id, stem) IN (SELECT (dict_id, w) FROM w)""",
     "x13_case_habit": f"WITH {views.HEAD_SQL}, {_CASED}, n AS (SELECT dict_id, {_CASE} AS habit, count(*) AS n FROM cased GROUP BY ALL) SELECT dict_id, habit, n FROM (SELECT *, row_number() OVER (PARTITION BY dict_id ORDER BY n DESC, habit) AS r FROM n) WHERE r = 1",
 }
+
+_STEMS = ORACLE_SQL["x12_stems"]
+ORACLE_SQL["x10_random_word"] = f"""WITH forms AS MATERIALIZED (SELECT DISTINCT dict_id, w FROM ({_STEMS})), token AS (SELECT DISTINCT lang AS dict_id, unnest(regexp_extract_all(text, '{views.WORD}')) AS w FROM documents)
+SELECT t.dict_id, arg_min(t.w, ((f.w IS NOT NULL)::INTEGER, md5('seed-1#' || t.w), t.w)) AS w FROM token t LEFT JOIN forms f ON f.dict_id = t.dict_id AND f.w = t.w WHERE len(t.w) BETWEEN 4 AND 18 AND NOT regexp_matches(t.w, '{fo.CAPITAL}') GROUP BY t.dict_id"""
