@@ -237,9 +237,9 @@ def derived(dictionaries: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def lexical(form: Column, name: Column, tags: Column) -> Column:
-    """Whether a dictionary holds words rather than articles about things: every format but ZIM, and there what calls itself a Wiktionary."""
+    """Whether a dictionary holds words rather than articles about things: every format but ZIM (also behind the mark of a prepared one), and there what calls itself a Wiktionary."""
     says = lambda c: F.coalesce(F.contains(F.lower(c), F.lit("wiktionary")), F.lit(False))
-    return (F.regexp_replace(form, "^wudict:", "") != "zim") | says(name) | says(tags)
+    return (F.regexp_replace(form, "^[a-z]+:", "") != "zim") | says(name) | says(tags)
 
 
 def parse_rules(text: str) -> tuple[list[tuple[str, str, str, str]], list[str]]:

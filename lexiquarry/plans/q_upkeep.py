@@ -26,7 +26,7 @@ def _dictionaries(spark, d):
     path = F.when(n % 3 == 0, "/d/x/w.mdx").when(n % 3 == 1, F.concat(F.lit("/d/"), i, F.lit("-"), j, F.lit("/w.dsl.dz"))).otherwise(F.concat(F.lit("/d/y/"), i, F.lit("_small.zim")))
     return views.table(spark, d, "supplier", "s_suppkey").select(
         n.alias("dict_id"), title.alias("name"), path.alias("path"), F.when(n % 5 == 0, other).alias("declared"), F.when(n % 10 == 0, F.concat(name, F.lit(" (Modern)"))).alias("contents"),
-        F.array(F.lit("/d"), F.lit("/e")).alias("roots"), F.when(n % 3 == 2, F.lit("wudict:zim")).otherwise("dsl").alias("format"), F.when(n % 2 == 0, "Wiktionary;x").alias("tags"),
+        F.array(F.lit("/d"), F.lit("/e")).alias("roots"), F.when(n % 3 == 2, F.lit("kept:zim")).otherwise("dsl").alias("format"), F.when(n % 2 == 0, "Wiktionary;x").alias("tags"),
     )
 
 
