@@ -117,6 +117,8 @@ def _codes() -> dict[str, str]:
 CODES = _codes()
 NAMES = {line.split(" ")[0]: line.split(" ", 2)[2].split(",")[0] for line in LANGUAGES.split("\n")}
 _LONG = sorted((n for n in CODES if len(n) > 3), key=lambda n: (-len(n), n))
+#: English names, longest first; "lao" is both a name and a code.
+_ENGLISH = sorted((n for line in LANGUAGES.lower().split("\n") for n in line.split(" ", 2)[2].split(",")), key=lambda n: (-len(n), n))
 _SHORT = "|".join(sorted(k for k in CODES if len(k) < 4))
 
 
@@ -148,7 +150,7 @@ def from_path(path: Column) -> Column:
 def from_title(title: Column) -> Column:
     """The earliest whole-word name or marked code; a title mostly in Cyrillic is Russian."""
     low = F.lower(title)
-    name_at = [F.when(low.rlike(rf"(?<!\p{{L}}){n}(?!\p{{L}})"), F.struct(F.regexp_instr(low, F.lit(rf"(?<!\p{{L}}){n}(?!\p{{L}})")).alias("at"), F.lit(CODES[n]).alias("code"))) for n in sorted(_LONG)]
+    name_at = [F.when(low.rlike(rf"(?<!\p{{L}}){n}(?!\p{{L}})"), F.struct(F.regexp_instr(low, F.lit(rf"(?<!\p{{L}}){n}(?!\p{{L}})")).alias("at"), F.lit(CODES[n]).alias("code"))) for n in sorted(_ENGLISH)]
     marked = rf"(?<!\p{{L}})(?:({_SHORT})(?=\s?[-_‐‑‒–—−]\s?(?:{_SHORT})(?!\p{{L}}))|(?<=[(\[{{])({_SHORT})(?=[)\]}}]))"
     code = F.regexp_extract(low, marked, 0)
     code_at = F.when(code != "", F.struct(F.regexp_instr(low, F.lit(marked)).alias("at"), F.element_at(code_map(), code).alias("code")))

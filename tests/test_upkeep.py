@@ -55,6 +55,11 @@ def test_languages_of_titles(spark):
     assert [r.v and tuple(r.v) for r in rows.select(languages.folder_languages(F.col("p"), F.col("r")).alias("v")).collect()] == [("en", "ru"), None, ("en", "ru"), None]
 
 
+def test_short_names_in_titles(spark):
+    titles = ["Lao-Swahili Dictionary", "Swahili-Lao Dictionary", "A Lao primer", "Laos and Vietnamese", "Laotian", "Norwegian Nynorsk-Lao", *languages.NAMES.values()]
+    assert values(spark, languages.from_title, titles) == ["lo", "sw", "lo", "vi", None, "nn", *languages.NAMES]
+
+
 def test_redirect_targets_without_case(spark):
     entries = spark.createDataFrame([("d", 1, "Word"), ("d", 2, "other")], "dict_id string, id long, w string")
     chain = [("d", f"s{k}", f"S{k + 1}" if k % 2 else f"s{k + 1}") for k in range(50)] + [("d", "s50", "wORD"), ("d", "x", "y"), ("d", "y", "x"), ("d", "lost", "nowhere")]
