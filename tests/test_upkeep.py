@@ -60,6 +60,16 @@ def test_short_names_in_titles(spark):
     assert values(spark, languages.from_title, titles) == ["lo", "sw", "lo", "vi", None, "nn", *languages.NAMES]
 
 
+def test_every_language_in_derived_groups(spark):
+    """Where only the title speaks, the first of its two names is the language group, for every language."""
+    names = list(languages.NAMES.items())
+    rows = [(k, f"{n}-{names[k - 1][1].split()[0]} Dictionary", "/d/x/w.mdx", None, None, ["/d"]) for k, (_, n) in enumerate(names)]
+    dictionaries = spark.createDataFrame(rows, "dict_id int, name string, path string, declared string, contents string, roots array<string>")
+    rules = spark.createDataFrame([], "facet string, group_name string, kind string, pattern string")
+    got = {r.dict_id: (r.value, r.label) for r in languages.derived(dictionaries, rules).filter("facet = 'lang'").collect()}
+    assert got == dict(enumerate(names))
+
+
 def test_redirect_targets_without_case(spark):
     entries = spark.createDataFrame([("d", 1, "Word"), ("d", 2, "other")], "dict_id string, id long, w string")
     chain = [("d", f"s{k}", f"S{k + 1}" if k % 2 else f"s{k + 1}") for k in range(50)] + [("d", "s50", "wORD"), ("d", "x", "y"), ("d", "y", "x"), ("d", "lost", "nowhere")]
