@@ -116,7 +116,6 @@ def _codes() -> dict[str, str]:
 
 CODES = _codes()
 NAMES = {line.split(" ")[0]: line.split(" ", 2)[2].split(",")[0] for line in LANGUAGES.split("\n")}
-_LONG = sorted((n for n in CODES if len(n) > 3), key=lambda n: (-len(n), n))
 #: English names, longest first; "lao" is both a name and a code.
 _ENGLISH = sorted((n for line in LANGUAGES.lower().split("\n") for n in line.split(" ", 2)[2].split(",")), key=lambda n: (-len(n), n))
 _SHORT = "|".join(sorted(k for k in CODES if len(k) < 4))
@@ -133,7 +132,7 @@ def normalised(c: Column) -> Column:
 def declared(c: Column) -> Column:
     """A declared language: a code or name, else the longest name that it starts with."""
     low = F.lower(F.trim(c))
-    starts = F.coalesce(*[F.when(low.startswith(n), F.lit(CODES[n])) for n in _LONG])
+    starts = F.coalesce(*[F.when(low.startswith(n), F.lit(CODES[n])) for n in _ENGLISH])
     return F.coalesce(F.element_at(code_map(), low), starts)
 
 

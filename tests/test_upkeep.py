@@ -70,6 +70,13 @@ def test_every_language_in_derived_groups(spark):
     assert got == dict(enumerate(names))
 
 
+def test_declared_languages_with_more_behind(spark):
+    stated = ["Lao (Modern)", " LaoModernSort", "MalayalamSort", "Norwegian Bokmal (old)", "Other", "enough", *[n + " (Modern)" for n in languages.NAMES.values()]]
+    assert values(spark, languages.declared, stated) == ["lo", "lo", "ml", "nb", None, None, *languages.NAMES]
+    article = lambda c: languages.article_language(F.lit(None), c, F.lit("Lao-Swahili Dictionary"), F.lit("/d/x/w.mdx"), F.array(F.lit("/d")))
+    assert values(spark, article, ["Lao (Modern)", "Thai (Modern)", "Other"]) == ["lo", "th", "sw"]
+
+
 def test_redirect_targets_without_case(spark):
     entries = spark.createDataFrame([("d", 1, "Word"), ("d", 2, "other")], "dict_id string, id long, w string")
     chain = [("d", f"s{k}", f"S{k + 1}" if k % 2 else f"s{k + 1}") for k in range(50)] + [("d", "s50", "wORD"), ("d", "x", "y"), ("d", "y", "x"), ("d", "lost", "nowhere")]
