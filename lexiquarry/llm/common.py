@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,13 +69,16 @@ def stored(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
+    trim_driver(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The rows without their lineage, by a reliable checkpoint."""
     shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    out = frame.checkpoint(eager=True)
+    trim_driver(frame.sparkSession)
+    return out
 
 
 #: Rows of an Arrow batch, unless the session says otherwise: texts and shingle sets are
@@ -89,6 +93,21 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Let the driver's JVM return freed memory outside its heap to the system, and say whether it could: compiling the code of
+    many plans leaves hundreds of megabytes behind in the allocator."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    try:
+        # Through the public interface: the class of the server is closed to reflection.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        asked = gateway.new_array(jvm.java.lang.Object, 4)
+        asked[0], asked[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
+    except Py4JError:  # not every JVM or C library has it
+        return False
+    return True
+
+
 def frugal(run: Callable) -> Callable:
     """The function, with memory given back to the system when a task ends: workers live on and
     share the executor's memory with its other processes."""

@@ -1,17 +1,60 @@
-"""Connected components of an edge table, by alternating large and small stars.
+"""Connected components of an edge table.
 
-The edges never leave the executors. Every round writes a reliable checkpoint, so
-that no round depends on the lineage, or the executors, of those before it."""
+Each task first joins the edges that it reads, and hands on a star for each of its components: a node is in at most
+one edge a task then. Up to ``AT_ONCE`` of those edges are joined by one task. More of them go through rounds of
+alternating large and small stars, on all executors.
+
+The edges never leave the executors. What is joined, and every round, is written as a reliable checkpoint, so
+that nothing depends on the lineage, or the executors, of what came before. A round is some ten stages, whose plans and tasks
+the driver keeps for a while: few edges are not worth that."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, mapped, partitions
 
 #: Edges that one task of a round handles at least: few edges are not spread over many small files.
 EDGES = 100_000
+#: Edges that one task joins alone, at most.
+AT_ONCE = 1_000_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes, from edges between their numbers."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return label
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a task's edges (a, b) but the least of its component, as a, beside that one, as b."""
+    held = [x for x in batches if x.num_rows]
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    del held
+    nodes = pc.unique(pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    a, b = (pc.index_in(edges[c], value_set=nodes).combine_chunks().to_numpy().astype(np.int64) for c in ("a", "b"))
+    label = least_labels(a, b, len(nodes))
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    for i in range(0, len(other), 1 << 16):
+        s = other[i : i + (1 << 16)]
+        yield pa.record_batch({"a": nodes.take(pa.array(s)), "b": nodes.take(pa.array(label[s]))})
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -33,8 +76,11 @@ def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the least node of its component, of every node that has an edge (a, b)."""
-    e = cut(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
+    e = cut(mapped(edges.filter(F.col("a") != F.col("b")).select("a", "b"), _joined, edges.select("a", "b").schema))
     seen = _digest(e)
+    if seen[0] <= AT_ONCE:
+        e = cut(mapped(e.coalesce(1), _joined, e.schema))
+        seen = (0,)
     while seen[0]:
         parts = max(1, min(partitions(e.sparkSession), -(-seen[0] // EDGES)))
         e = e.coalesce(parts)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, give_back, keeping, mapped, table
+from .common import crc_fold, give_back, keeping, mapped, table, trim_driver
 from .ftrl import Ftrl
 
 BITS = 16
@@ -171,6 +171,7 @@ def learn(docs: DataFrame) -> tuple | None:
     sample = known.filter(small & (place < F.element_at(share, F.col("lang")))).select("text", "lang").toArrow()
     if not sample.num_rows:
         return None
+    trim_driver(docs.sparkSession)
     model = fit(sample["text"].to_pylist(), sample["lang"].to_pylist(), idf)
     give_back()
     return model

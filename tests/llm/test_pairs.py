@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import decontaminate, jaccard, queries, sharding, substrings, topk
+from lexiquarry.llm import common, components, decontaminate, jaccard, queries, sharding, substrings, topk
 from lexiquarry.llm.suffixes import permuted_prefixes, suffix_array
 from tests.parity import connect, rows_of_spark, rows_of_sql
 
@@ -280,3 +280,39 @@ def test_sharding(spark):
     heavy = sharding.shard(frame, weights=[1.0] * 3 + [5.0]).groupBy("shard").count().collect()
     assert max(heavy, key=lambda r: r["count"]).shard == 3
     assert sharding.shard(empty(spark, DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [10**6, 0])
+def test_components(spark, at_once, monkeypatch):
+    """Least nodes of components, by one task and by rounds; few edges take few jobs, however long their chains."""
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(300) if k % 100] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(7, 7), (5000, 5000), (90, 10), (90, 10)]
+    name = lambda k: hashlib.md5(str(k).encode()).digest()
+    root = {name(k): name(k) for e in edges for k in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(name(a)), find(name(b))))
+            root[y] = x
+    frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary").repartition(7)
+    spark.sparkContext.setJobGroup(f"components {at_once}", "")
+    got = [(bytes(r.node), bytes(r.label)) for r in components.components(frame).collect()]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == sorted((k, find(k)) for k in root)
+    assert components.components(empty(spark, "a binary, b binary")).count() == 0
+    if at_once:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {at_once}")) <= 12
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """After each written table and checkpoint, whatever freed memory its JVM holds outside the heap."""
+    assert common.trim_driver(spark)
+    calls = []
+    monkeypatch.setattr(common, "trim_driver", calls.append)
+    assert common.cut(common.stored(spark.range(3))).count() == 3 and len(calls) == 2
